@@ -1,6 +1,435 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each applies an operator to the bound tables; ORACLE_SQL says the same in plain SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.operators import dsl, graph, hotspots, isolation, navigate, similarity, soft_edges
+from loomgraph.sources.binding import frame, with_bindings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The bound tables by name, read when they are asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._at = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return frame(*self._at, name)
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def register(f: Callable[[Tables], DataFrame]):  # noqa: ANN202
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = with_bindings(sql)
+        return f
+
+    return register
+
+
+_SIMPLE = """(select * exclude (n) from (select *, row_number() over (partition by caller, callee order by call_type desc, rule_id desc nulls last) as n from method_calls) where n = 1)"""
+_NODES = "(select fqn from symbols where kind in ('method', 'constructor', 'event', 'lambda', 'xaml', 'framework_method'))"
+_WEIGHT = "case when call_type = 'delegate_reference' then 15 when call_type in ('lifecycle_entrypoint', 'xaml_event', 'event_dispatch') then 35 else 100 end"
+_FAN_IN = """select s.fqn, cast(coalesce(n, 0) as bigint) as fan_in from symbols s left join (select fqn, sum(c) as n from (
+    select callee as fqn, count(*) as c from {calls} group by 1 union all select base, count(*) from inheritance group by 1
+    union all select target, count(*) from {accesses} group by 1 union all select target, count(*) from type_uses group by 1) group by 1) x on x.fqn = s.fqn"""
+
+
+@query("select caller, callee, call_type, rule_id, rule_family, cast(sum(call_count) as bigint) as call_count from method_calls group by all")
+def call_aggregate(t: Tables) -> DataFrame:
+    return graph.aggregate_calls(t.method_calls)
+
+
+@query("""select accessor, target, is_external, case when bool_or(access_kind = 'read') and bool_or(access_kind = 'write') then 'read_write' else arg_min(access_kind, ordinal) end as access_kind from field_accesses group by 1, 2, 3""")
+def field_access_merge(t: Tables) -> DataFrame:
+    return graph.merge_accesses(t.field_accesses)
+
+
+@query("select distinct source, target, type from type_uses")
+def type_dep_distinct(t: Tables) -> DataFrame:
+    return t.type_uses.select("source", "target", "type").dropDuplicates()
+
+
+@query("""select fqn, arg_max(name, ordinal) as name, arg_max(project_id, ordinal) as project_id, arg_min(namespace, ordinal) filter (namespace is not null) as namespace, arg_min(return_type, ordinal) filter (return_type is not null) as return_type,
+    min(line_start) as line_start, max(line_end) as line_end, cast(sum(loc) as bigint) as loc, case when count(*) > 1 then max(coalesce(parameter_count, 0)) else max(parameter_count) end as parameter_count, bool_or(is_async) as is_async, count(*) as arrivals from arrivals group by fqn""")
+def symbol_upsert_fold(t: Tables) -> DataFrame:
+    return graph.fold_symbols(t.arrivals)
+
+
+@query("""select c.call_type, c.rule_id, c.rule_family, c.call_count, sha256(a.fqn) as source_id, sha256(b.fqn) as target_id from method_calls c join symbols a on a.fqn = c.caller join symbols b on b.fqn = c.callee""")
+def edge_endpoint_resolution(t: Tables) -> DataFrame:
+    return graph.resolve_endpoints(t.method_calls, t.symbols, "caller", "callee")
+
+
+@query("""select m.caller, m.callee, m.call_type, m.rule_id from method_calls m where not exists (select 1 from thin_calls k where k.caller = m.caller and k.callee = m.callee and k.rule_id is not distinct from m.rule_id)""")
+def relationship_not_exists(t: Tables) -> DataFrame:
+    return graph.not_yet_known(t.method_calls.select("caller", "callee", "call_type", "rule_id"), t.thin_calls, ["caller", "callee", "rule_id"])
+
+
+@query(_FAN_IN.format(calls="method_calls", accesses="field_accesses"))
+def db_fan_in(t: Tables) -> DataFrame:
+    return graph.row_fan_in(t.symbols, t.method_calls, t.inheritance, t.field_accesses, t.type_uses)
+
+
+@query(f"select fqn, kind, coalesce(file_path, '') as file_path from symbols where fqn in {_NODES}")
+def graph_nodes_call(t: Tables) -> DataFrame:
+    return t.symbols.where(F.col("kind").isin(*graph.CALL_NODE_KINDS)).select("fqn", "kind", F.coalesce("file_path", F.lit("")).alias("file_path"))
+
+
+@query(f"select caller, callee, call_type, rule_id, rule_family, call_count from {_SIMPLE} where caller in {_NODES} and callee in {_NODES}")
+def graph_edges_call(t: Tables) -> DataFrame:
+    return graph.call_edges(t.method_calls, t.symbols)
+
+
+@query("""select fqn, kind from symbols where fqn in (select accessor from field_accesses union select target from field_accesses)""")
+def graph_nodes_field_access(t: Tables) -> DataFrame:
+    ends = t.field_accesses.select(F.col("accessor").alias("fqn")).union(t.field_accesses.select("target")).distinct()
+    return ends.join(t.symbols.select("fqn", "kind"), "fqn", "left").select("fqn", F.coalesce("kind", F.lit("unknown")).alias("kind"))
+
+
+@query("select d.fqn as derived, b.fqn as base, i.kind from inheritance i join symbols d on d.fqn = i.derived join symbols b on b.fqn = i.base")
+def graph_edges_inheritance(t: Tables) -> DataFrame:
+    s = t.symbols.select("fqn")
+    return t.inheritance.join(s.withColumnRenamed("fqn", "derived"), "derived").join(s.withColumnRenamed("fqn", "base"), "base")
+
+
+@query("select source, target, max(type) as type from type_uses group by 1, 2")
+def graph_edges_type_dependency(t: Tables) -> DataFrame:
+    return t.type_uses.groupBy("source", "target").agg(F.max("type").alias("type"))
+
+
+@query("select a.name as source, b.name as target from project_refs r join projects a on a.id = r.source join projects b on b.id = r.target")
+def graph_project_dependency(t: Tables) -> DataFrame:
+    p = t.projects.select("id", "name")
+    return t.project_refs.join(p.select(F.col("id").alias("source"), F.col("name").alias("s")), "source").join(p.select(F.col("id").alias("target"), F.col("name").alias("t")), "target").select(F.col("s").alias("source"), F.col("t").alias("target"))
+
+
+@query(f"""select node, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint) as out_degree from (select callee as node, count(distinct caller) as i, 0 as o from method_calls group by 1 union all select caller, 0, count(distinct callee) from method_calls group by 1) group by 1""")
+def degree_simple(t: Tables) -> DataFrame:
+    return graph.degrees(graph.simple_digraph(t.method_calls))
+
+
+@query(f"select callee as node, cast(sum({_WEIGHT}) as double) / 100 as weighted from {_SIMPLE} group by 1")
+def degree_weighted(t: Tables) -> DataFrame:
+    return graph.weighted_in_degree(graph.simple_digraph(t.method_calls))
+
+
+@query(f"select callee as node, call_type || case when caller like 'framework::%' then ':framework_source' else '' end as type, count(*) as n from {_SIMPLE} group by 1, 2")
+def edge_type_counts(t: Tables) -> DataFrame:
+    return graph.type_counts(graph.simple_digraph(t.method_calls))
+
+
+@query(f"""select node, direction, rule_family, count(*) as n from (select callee as node, 'in' as direction, rule_family from {_SIMPLE} union all select caller, 'out', rule_family from {_SIMPLE}) where rule_family is not null and trim(rule_family) <> '' group by 1, 2, 3""")
+def edge_rule_counts(t: Tables) -> DataFrame:
+    return graph.rule_counts(graph.simple_digraph(t.method_calls))
+
+
+_COUPLING = "select p.name, cast(count(e.id) as bigint) as static_coupling from projects p left join (select source as id from project_refs union all select target from project_refs) e on e.id = p.id group by 1"
+
+
+@query(_COUPLING)
+def static_coupling(t: Tables) -> DataFrame:
+    return graph.coupling(t.project_refs, t.projects)
+
+
+_DEGREE = "(select callee as node, count(distinct caller) as d from method_calls group by 1)"
+_ROLLUP = f"""select s.fqn, cast(coalesce(d.d, 0) + case when s.kind = 'class' then coalesce(m.d, 0) else 0 end as bigint) as fan_in from symbols s left join {_DEGREE} d on d.node = s.fqn
+    left join (select x.containing_type as ct, sum(coalesce(y.d, 0)) as d from symbols x left join {_DEGREE} y on y.node = x.fqn where x.containing_type is not null group by 1) m on m.ct = s.fqn"""
+
+
+@query(_ROLLUP)
+def class_fan_in_rollup(t: Tables) -> DataFrame:
+    return hotspots.class_roll_up(t.symbols, graph.degrees(graph.simple_digraph(t.method_calls)))
+
+
+_TEST = "(coalesce(p.is_test_project, false) or regexp_matches(lower(s.fqn || ' ' || coalesce(s.file_path, '')), '[.](unittest|tests|test)[.]|\\\\(unittest|tests|test|integrationtests|livetests|browser[.]tests)\\\\'))"
+_HOTSPOT = f"""m as (select s.fqn, s.kind, s.loc, r.fan_in, coalesce(o.d, 0) as fan_out, coalesce(w.weighted, 0) as effective_fan_in, coalesce(c.static_coupling, 0) as coupling, s.parameter_count, s.is_async
+    from symbols s left join projects p on p.id = s.project_id join ({_ROLLUP}) r on r.fqn = s.fqn left join (select caller as node, count(distinct callee) as d from method_calls group by 1) o on o.node = s.fqn
+    left join (select callee as node, cast(sum({_WEIGHT}) as double) / 100 as weighted from {_SIMPLE} group by 1) w on w.node = s.fqn left join ({_COUPLING}) c on c.name = p.name where not {_TEST}),
+    x as (select coalesce(nullif(max(fan_in), 0), 1) as a, coalesce(nullif(max(loc), 0), 1) as b, coalesce(nullif(max(fan_out), 0), 1) as c, coalesce(nullif(max(parameter_count), 0), 1) as d, coalesce(nullif(max(coupling), 0), 1) as e from m),
+    scored as (select fqn, kind, loc, fan_in, cast(fan_out as bigint) as fan_out, cast(effective_fan_in as double) as effective_fan_in, cast(coupling as bigint) as coupling, cast(fan_in * loc as bigint) as danger_score,
+    round(0.25::double * (fan_in::double / a) + 0.20::double * (loc::double / b) + 0.20::double * (fan_out::double / c) + 0.10::double * (parameter_count::double / d) + 0.10::double * is_async::int::double + 0.15::double * (coupling::double / e), 4) as score from m, x)"""
+
+
+def _scored(t: Tables) -> DataFrame:
+    edges = graph.simple_digraph(t.method_calls)
+    return hotspots.hotspots(t.symbols, t.projects, graph.degrees(edges), graph.weighted_in_degree(edges), graph.coupling(t.project_refs, t.projects))
+
+
+@query(f"with {_HOTSPOT} select * from scored")
+def hotspot_scores(t: Tables) -> DataFrame:
+    return _scored(t)
+
+
+@query(f"""with {_HOTSPOT} select fqn, unnest(list_filter([case when danger_score >= 2000 then 'high fan-in x LOC' end, case when loc >= 1500 and fan_in >= 5 then 'very large class with multiple callers' end,
+    case when danger_score >= 500 and regexp_matches(lower(fqn), 'manager|controller|global|registry|serviceprovider|locator') then 'broad-responsibility name with notable fan-in x LOC' end], lambda r: r is not null)) as reason from scored where kind = 'class'""")
+def hotspot_antipatterns(t: Tables) -> DataFrame:
+    return hotspots.anti_patterns(_scored(t))
+
+
+@query("""select fqn from symbols where (has_do_events and (has_ui_dispatch or has_background_worker or has_task_spawn)) or (has_ui_dispatch and (has_task_spawn or has_background_worker or has_thread_start or has_blocking_wait))""")
+def threading_hazards(t: Tables) -> DataFrame:
+    return hotspots.threading_hazards(t.symbols).select("fqn")
+
+
+@query("""with a as (select f.*, case when regexp_matches(lower(accessor), '[.]ctor|_load|initui|initialize|_shown|setparamdefault') then 'init' when regexp_matches(lower(accessor), '_click|_checkedchanged|_selectedindexchanged|_scroll|_propvaluechanged|_domainchanged|_formclosed|_formclosing') then 'event' else 'runtime' end as cat
+    from field_accesses f join symbols s on s.fqn = f.target and s.kind in ('field', 'property') where not regexp_matches(lower(target), '[.](unittest|tests|test)[.]')),
+    g as (select target, count(distinct accessor) filter (access_kind <> 'read') as writers, count(distinct accessor) filter (access_kind <> 'write') as readers, count(distinct accessor) filter (access_kind <> 'read' and is_external) as external,
+    count(distinct accessor) filter (access_kind <> 'read' and cat = 'init') as init, count(distinct accessor) filter (access_kind <> 'read' and cat = 'event') as event, count(distinct accessor) filter (access_kind <> 'read' and cat = 'runtime') as runtime from a group by 1)
+    select *, (100 * runtime + 30 * event + init) / 10.0::double as risk, case when external >= 2 then 'external' when external = 1 then 'mixed' else 'internal' end as spread from g where writers >= 2""")
+def shared_mutable_state(t: Tables) -> DataFrame:
+    return hotspots.shared_state(t.field_accesses, t.symbols)
+
+
+@query("select p.name as project, f.id from source_files f join projects p on p.id = f.project_id where lower(f.id) like '%view%' order by 1, 2 limit 20")
+def files_list(t: Tables) -> DataFrame:
+    return navigate.list_files(t.source_files, t.projects, None, "View", 20)
+
+
+@query(f"""select s.fqn, s.kind, f.fan_in, s.loc from symbols s join ({_FAN_IN.format(calls="method_calls", accesses="field_accesses")}) f on f.fqn = s.fqn where lower(s.fqn) like '%load%' and s.kind = 'method' order by f.fan_in desc, s.loc desc, s.fqn limit 25""")
+def symbols_list(t: Tables) -> DataFrame:
+    return navigate.list_symbols(t.symbols, db_fan_in(t), "load", "method", 25)
+
+
+@query("select fqn, 1 as tier from symbols where kind in ('class', 'interface') and lower(name) = 'supplier8service'")
+def symbol_resolve(t: Tables) -> DataFrame:
+    return similarity.resolve(t.symbols.where("kind in ('class', 'interface')"), "supplier8service")
+
+
+@query(r"""select file_path as path, bool_or(list_contains(list_transform(string_split(lower(replace(file_path, chr(92), '/')), '/')[:-2], lambda x: x), 'tests') or regexp_matches(lower(regexp_extract(file_path, '[^/\\]+$')), '^.*view[.]xaml[.]cs$') or regexp_matches(lower(replace(file_path, chr(92), '/')), '(?:^|/)services/[^/]*manager[.]cs$')) as excluded from types group by 1""")
+def exclusion_filter(t: Tables) -> DataFrame:
+    return navigate.excluded(t.types.select(F.col("file_path").alias("path")).distinct(), ["tests", "obj"], "*View.xaml.cs", "services/*Manager.cs")
+
+
+@query(f"select s.fqn, {_TEST} as is_test from symbols s left join projects p on p.id = s.project_id")
+def test_symbol_flags(t: Tables) -> DataFrame:
+    return hotspots.is_test(t.symbols, t.projects).select("fqn", "is_test")
+
+
+@query("select p.id, cast(max(f.age) as bigint) as newest from projects p join source_files f on f.project_id = p.id group by 1 having max(f.age) > 80")
+def incremental_projects(t: Tables) -> DataFrame:
+    return t.source_files.groupBy(F.col("project_id").alias("id")).agg(F.max("age").alias("newest")).where("newest > 80").join(t.projects.select("id"), "id", "left_semi")
+
+
+def _thin_fan_in(t: Tables) -> DataFrame:
+    return graph.row_fan_in(t.symbols, t.thin_calls, t.inheritance, t.field_accesses.where("ordinal < 0"), t.type_uses)
+
+
+def _decided(t: Tables, soft: bool = False) -> DataFrame:
+    edges = t.soft_edges.where("confidence >= 3").select("source", "target") if soft else None
+    return isolation.cascade(t.symbols, t.projects, _thin_fan_in(t), t.thin_calls, t.inheritance, t.type_uses, edges)
+
+
+_THIN = _FAN_IN.format(calls="thin_calls", accesses="(select * from field_accesses where ordinal < 0)")
+_CASCADE = f"""fan as ({_THIN}), z as (select s.*, lower(s.name) as low, lower(s.fqn) as f, lower(coalesce(s.file_path, '')) as p, lower(regexp_extract(coalesce(s.containing_type, ''), '[^.]*$')) as ct, fan.fan_in from symbols s join fan on fan.fqn = s.fqn),
+    sib as (select containing_type, count(*) as n, bool_or(f like '%.messages.%' or f like '%message)%' or f like '%message,%') as msg from z where kind = 'method' and low = 'receive' group by 1),
+    r as (select z.*, list_filter([
+    case when kind = 'method' and (low = 'main' or f like '%.dispose(%') then 'dotnet.lifecycle_method' end,
+    case when kind = 'method' and low in ('render', 'onloaded') then 'ui.lifecycle_or_render_callback' end,
+    case when kind = 'method' and low = 'render' and (ct like '%renderer' or ct like '%control') then 'ui.render_callback' end,
+    case when kind = 'method' and p like '%.xaml.cs' and name like 'On%' then 'xaml.codebehind_callback' end,
+    case when kind = 'method' and low = 'receive' and (f like '%message)%' or (sib.n >= 2 and sib.msg)) then 'mvvm.message_recipient'
+         when kind = 'method' and ct like '%viewmodel' and exists (select 1 from z c where c.kind in ('field', 'property') and c.containing_type = z.containing_type and c.low = z.low || 'command') then 'mvvm.command_method' end,
+    case when kind = 'method' and low = 'invoke' and p like '%' || chr(92) || 'middleware' || chr(92) || '%' then 'aspnet.middleware_invoke'
+         when kind = 'method' and p like '%' || chr(92) || 'controllers' || chr(92) || '%' and ct like '%controller' and accessibility = 'public' then 'aspnet.controller_action' end,
+    case when kind = 'method' and low = 'configure' then 'di.service_configuration' end,
+    case when kind in ('class', 'interface') and name like '%Controller' and (p like '%' || chr(92) || 'controllers' || chr(92) || '%' or p like '%' || chr(92) || 'middleware' || chr(92) || '%') then 'aspnet.convention_type' end], lambda x: x is not null) as rules
+    from z left join sib on sib.containing_type = z.containing_type where fan_in = 0),
+    d as (select r.fqn, r.kind, r.loc, r.rules, case
+    when list_has_any(r.rules, ['dotnet.lifecycle_method', 'aspnet.middleware_invoke', 'aspnet.controller_action', 'di.service_configuration', 'aspnet.convention_type']) then 'suppressed_by_rule'
+    when coalesce(pr.is_test_project, false) or f like '%.tests.%' or p like '%tests' || chr(92) || '%' then 'test_artifact'
+    when r.fqn in (select callee from thin_calls) then 'called' @SOFT@
+    when r.fqn in (select target from type_uses) then 'used_as_type'
+    when r.kind in ('class', 'interface') and r.fqn in (select m.containing_type from z m where m.containing_type is not null and (m.fan_in > 0 or m.fqn in (select callee from thin_calls))) then 'live_members'
+    when r.kind in ('class', 'interface') and r.fqn in (select base from inheritance) then 'has_derived'
+    when r.kind in ('class', 'interface') and r.name like '%View' then 'ui_type' when f like '%main(%' then 'entry_point'
+    when r.kind = 'method' and r.name in ('get', 'set', 'add', 'remove') then 'accessor' end as drop_reason from r left join projects pr on pr.id = r.project_id)"""
+_HARD = _CASCADE.replace("@SOFT@", "")
+_SOFT = _CASCADE.replace("@SOFT@", "when r.fqn in (select target from soft_edges where confidence >= 3) then 'soft_called'")
+
+
+@query(f"with {_HARD} select fqn, unnest(rules) as rule from d")
+def convention_rules(t: Tables) -> DataFrame:
+    return _decided(t).select("fqn", F.explode("rules").alias("rule"))
+
+
+@query(f"with {_HARD} select fqn, kind, loc, drop_reason from d")
+def isolation_drop_reason(t: Tables) -> DataFrame:
+    return _decided(t).select("fqn", "kind", "loc", "drop_reason")
+
+
+@query(f"with {_HARD} select fqn, kind, loc from d where drop_reason is null")
+def isolation_candidates(t: Tables) -> DataFrame:
+    return _decided(t).where("drop_reason is null").select("fqn", "kind", "loc")
+
+
+@query(f"""with {_HARD}, e as (select unnest(rules) as rule, coalesce(drop_reason = 'suppressed_by_rule', false) as gone from d), c as (select *, case when rule in ('dotnet.lifecycle_method', 'aspnet.middleware_invoke', 'aspnet.controller_action', 'di.service_configuration', 'aspnet.convention_type') then 'suppress' else 'label' end as policy from e)
+    select policy, rule, count(*) as n, split_part(rule, '.', 1) as family from c where gone = (policy = 'suppress') group by 1, 2""")
+def rule_suppression_counts(t: Tables) -> DataFrame:
+    return isolation.rule_counters(_decided(t))
+
+
+@query(f"with {_SOFT} select fqn, drop_reason from d")
+def isolation_soft(t: Tables) -> DataFrame:
+    return _decided(t, soft=True).select("fqn", "drop_reason")
+
+
+@query(f"with {_HARD} select fqn from d where drop_reason is null and fqn in (select target from soft_edges where confidence >= 3)")
+def isolation_compare(t: Tables) -> DataFrame:
+    hard, soft = _decided(t).where("drop_reason is null"), _decided(t, soft=True).where("drop_reason is null")
+    return hard.join(soft, "fqn", "left_anti").select("fqn")
+
+
+_NORMAL = "(select trim(source) as source, trim(target) as target, case when trim(type) = '' then 'ai_soft_edge' else trim(type) end as type, confidence, ordinal, case when confidence > 1 or confidence < 0 then 'confidence out of range' end as error from soft_edges)"
+
+
+@query(f"select * from {_NORMAL}")
+def soft_edge_normalize(t: Tables) -> DataFrame:
+    return soft_edges.normalize(t.soft_edges)
+
+
+@query(f"select source, target, type, arg_max(ordinal, (ordinal % 2) * 100000000 + ordinal) as ordinal from {_NORMAL} group by 1, 2, 3")
+def soft_edge_merge(t: Tables) -> DataFrame:
+    n = soft_edges.normalize(t.soft_edges)
+    return soft_edges.merge(n.where("ordinal % 2 = 0"), n.where("ordinal % 2 = 1")).select(*soft_edges.KEY, "ordinal")
+
+
+@query(f"""select type, count(*) as n, count(*) filter (confidence is null) as no_confidence, count(*) filter (confidence < 0.5) as low_confidence, min(confidence) as least, max(confidence) as greatest, count(*) - count(distinct (source, target)) as repeated from {_NORMAL} group by 1""")
+def soft_edge_quality(t: Tables) -> DataFrame:
+    return soft_edges.quality(soft_edges.normalize(t.soft_edges))
+
+
+@query("select source, target, type, coalesce(confidence, 0) as confidence, ordinal from soft_edges order by 4 desc, 1, 2, 5 limit 50")
+def soft_edge_rank(t: Tables) -> DataFrame:
+    return soft_edges.ranked(t.soft_edges, 50)
+
+
+_REC = "(select s.fqn, s.name, s.containing_type, s.kind from symbols s)"
+_DSL_OPS = {
+    "eq": ("Load", "name = 'Load'"),
+    "neq": ("Load", "name <> 'Load'"),
+    "in": (["Load", "Render"], "name in ('Load', 'Render')"),
+    "contains": ("oad", "contains(name, 'oad')"),
+    "prefix": ("On", "starts_with(name, 'On')"),
+    "suffix": ("et", "ends_with(name, 'et')"),
+    "regex": ("^(On|Get)[A-Z]", "regexp_matches(name, '^(On|Get)[A-Z]')"),
+    "exists": (None, "true"),
+}
+
+
+def _dsl_operator(op: str, value: object, sql: str) -> None:
+    def run(t: Tables) -> DataFrame:
+        records = dsl.symbol_records(t.symbols.select("fqn", "name", "kind"))
+        return records.where(dsl.condition(dsl.Condition("name", op, value), F.col("rec"))).select(F.element_at("rec", F.lit("fqn")).alias("fqn"))
+
+    run.__name__ = f"dsl_op_{op}"
+    query(f"select fqn from symbols where {sql}")(run)
+
+
+for _op, (_value, _sql) in _DSL_OPS.items():
+    _dsl_operator(_op, _value, _sql)
+
+_RULE = """{{"id": "di.{id}", "scope": {{"source": "csharp_invocation", "target": "csharp_symbol"}}, "match": {{"where": [{{"field": "method.name", "op": "in", "value": {names}}}, {{"field": "invocation.generic_arg[0]", "op": "exists"}}]}},
+    "bind": {{"service_type": "$invocation.generic_arg[0]"}}, "resolve": {{"target": {{"kind": "{kind}", "where": [{{"field": "{field}", "op": "{op}", "value": "$service_type"}}]}}}},
+    "emit": {{"edge_kind": "{edge}", {call} "rule_id": "di.{id}", "rule_family": "di", "rule_mode": "candidate"}}}}"""
+RULES = [
+    dsl.parse(_RULE.format(id="resolve_suffix", names='["Resolve"]', kind="method", field="containing_type", op="suffix", edge="candidate_call", call='"call_type": "resolve_dispatch",')),
+    dsl.parse(_RULE.format(id="service_type", names='["GetService", "GetRequiredService"]', kind="class", field="name", op="eq", edge="candidate_type_dependency", call="")),
+]
+_EMIT = """(select i.fqn as source_fqn, s.fqn as target_fqn, 'resolve_dispatch' as type, 'di.resolve_suffix' as rule_id, 'di' as rule_family, 'candidate' as rule_mode from invocations i join symbols s on s.kind = 'method' and (s.containing_type = i.generic_arg or ends_with(s.containing_type, '.' || i.generic_arg)) where i.method_name = 'Resolve'
+    union all select i.fqn, s.fqn, 'candidate_type_dependency', 'di.service_type', 'di', 'candidate' from invocations i join symbols s on s.kind = 'class' and s.name = i.generic_arg where i.method_name in ('GetService', 'GetRequiredService'))"""
+
+
+def _emitted(t: Tables) -> DataFrame:
+    records = dsl.symbol_records(t.symbols.select("fqn", "name", "kind", "containing_type")).union(dsl.invocation_records(t.invocations))
+    return dsl.run_all(RULES, records)
+
+
+@query(f"select source_fqn, target_fqn, type, rule_id, rule_family, rule_mode from {_EMIT} where type = 'resolve_dispatch'")
+def dsl_resolve_suffix(t: Tables) -> DataFrame:
+    return _emitted(t).where("type = 'resolve_dispatch'").drop("diagnostic")
+
+
+@query(f"select source_fqn, target_fqn, type, rule_id, rule_family, rule_mode from {_EMIT} where type <> 'resolve_dispatch'")
+def dsl_emit_types(t: Tables) -> DataFrame:
+    return _emitted(t).where("type <> 'resolve_dispatch'").drop("diagnostic")
+
+
+@query(f"select coalesce(cast(null as string), 'emitted') as outcome, count(*) as n from {_EMIT}")
+def dsl_diagnostics(t: Tables) -> DataFrame:
+    return _emitted(t).groupBy(F.coalesce("diagnostic", F.lit("emitted")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(f"select e.source_fqn, e.target_fqn from {_EMIT} e join symbols a on a.fqn = e.source_fqn join symbols b on b.fqn = e.target_fqn")
+def dsl_persisted(t: Tables) -> DataFrame:
+    ids = t.symbols.select("fqn")
+    return _emitted(t).join(ids.withColumnRenamed("fqn", "source_fqn"), "source_fqn", "left_semi").join(ids.withColumnRenamed("fqn", "target_fqn"), "target_fqn", "left_semi").select("source_fqn", "target_fqn")
+
+
+@query("""select distinct c.caller, o.fqn as callee, 'dynamic_dispatch' as call_type from method_calls c join methods b on b.fqn = c.callee join inheritance i on i.base = b.containing_type join methods o on o.containing_type = i.derived and o.name = b.name and o.fqn <> b.fqn""")
+def dynamic_dispatch_expand(t: Tables) -> DataFrame:
+    return graph.dispatch_targets(t.method_calls, t.inheritance, t.methods)
+
+
+@query("""with x as (select fqn, containing_type as c, list_distinct(list_filter(string_split_regex(lower(regexp_replace(name, '(.)([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda y: y <> '')) as k from symbols where containing_type is not null)
+    select a.fqn as a, b.fqn as b, round(len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))::double, 4) as score from x a join x b on a.c = b.c and a.fqn < b.fqn where len(list_intersect(a.k, b.k)) >= 2""")
+def name_token_jaccard(t: Tables) -> DataFrame:
+    return similarity.token_pairs(t.symbols)
+
+
+@query("""select v.vec_id as query_id, w.vec_id, round(list_inner_product(v.embedding::double[], w.embedding::double[]) / sqrt(list_inner_product(v.embedding::double[], v.embedding::double[])) / sqrt(list_inner_product(w.embedding::double[], w.embedding::double[])), 4) as score,
+    cast(row_number() over (partition by v.vec_id order by round(list_inner_product(v.embedding::double[], w.embedding::double[]) / sqrt(list_inner_product(v.embedding::double[], v.embedding::double[])) / sqrt(list_inner_product(w.embedding::double[], w.embedding::double[])), 4) desc, w.vec_id) as int) as rank
+    from vectors v join vectors w on w.vec_id <> v.vec_id where v.vec_id < 3 qualify rank <= 20""")
+def vector_topk(t: Tables) -> DataFrame:
+    return similarity.nearest(t.vectors, t.vectors.where("vec_id < 3"), 20)
+
+
+@query("""with recursive c(root, node, k) as (select fqn, fqn, 0 from (select fqn from symbols where kind = 'method' order by fqn limit 5) union select c.root, e.caller, k + 1 from c join thin_calls e on e.callee = c.node where k < 2),
+    d(root, node, k) as (select fqn, fqn, 0 from (select fqn from symbols where kind = 'method' order by fqn limit 5) union select d.root, e.callee, k + 1 from d join thin_calls e on e.caller = d.node where k < 2)
+    select distinct root, node, 'callers' as direction from c where node <> root union all select distinct root, node, 'callees' from d where node <> root""")
+def bfs_expand(t: Tables) -> DataFrame:
+    return graph.expand(t.thin_calls, t.symbols.where("kind = 'method'").orderBy("fqn").limit(5))
+
+
+ORACLE_SQL["bfs_expand"] = ORACLE_SQL["bfs_expand"].replace("with ", "with recursive ", 1).replace(", recursive c(", ", c(")
+
+
+@query(f"""select s.fqn, s.kind || ' ' || s.fqn || chr(10) || 'loc ' || s.loc || case when a.x is null then '' else chr(10) || 'callers: ' || a.x end || case when b.x is null then '' else chr(10) || 'callees: ' || b.x end as summary from symbols s
+    left join (select callee as fqn, array_to_string(list_sort(list_distinct(list(caller)))[:3], ', ') as x from {_SIMPLE} group by 1) a on a.fqn = s.fqn left join (select caller as fqn, array_to_string(list_sort(list_distinct(list(callee)))[:3], ', ') as x from {_SIMPLE} group by 1) b on b.fqn = s.fqn""")
+def symbol_summary(t: Tables) -> DataFrame:
+    return navigate.summaries(t.symbols, graph.simple_digraph(t.method_calls))
+
+
+@query("select doc_id, unnest(list_filter(['the ', 'License', 'Version 2.0', '|'], lambda m: contains(text, m))) as marker from files_text")
+def marker_hits(t: Tables) -> DataFrame:
+    return navigate.marker_hits(t.files_text, ["the ", "License", "Version 2.0", "|"])
+
+
+@query(f"""with fan as ({_THIN}), z as (select s.file_path, s.fqn, s.loc, fan.fan_in, case when fan.fan_in = 0 then 4 when fan.fan_in = 1 then 2 else 0 end + case when regexp_matches(lower(regexp_extract(s.containing_type, '[^.]*$')), 'manager|service') then 3 else 0 end + case when regexp_matches(lower(s.name), '^(load|get)') then 2 else 0 end as score
+    from symbols s join fan on fan.fqn = s.fqn where s.kind = 'method') select file_path, fqn, score, cast(row_number() over (partition by file_path order by score desc, loc desc, fan_in, fqn) as int) as rank from z qualify rank <= 5""")
+def focal_symbols(t: Tables) -> DataFrame:
+    return navigate.focal_symbols(t.symbols, _thin_fan_in(t), ("manager", "service"), ("load", "get"))
+
+
+@query("""with x as (select page_id, regexp_extract_all(html, '[A-Za-z:-]+="[^"]*"') as l from pages_html), y as (select page_id, generate_subscripts(l, 1) - 1 as ordinal, unnest(l) as pair from x)
+    select page_id, cast(ordinal as int) as ordinal, split_part(pair, '=', 1) as attribute, substr(pair, instr(pair, '=') + 2, length(pair) - instr(pair, '=') - 2) as value from y""")
+def xaml_attributes(t: Tables) -> DataFrame:
+    return navigate.xml_attributes(t.pages_html)
+
+
+@query("""with x as (select doc_id, string_split(text, chr(10)) as l from files_text), y as (select doc_id, l, list_position(list_transform(l, lambda z: contains(z, 'License')), true) as line from x) select doc_id, cast(line as int) as line, array_to_string(l[greatest(line - 2, 1):line + 2], chr(10)) as snippet from y where line > 0""")
+def snippets(t: Tables) -> DataFrame:
+    return navigate.snippet(t.files_text, "License")
+
+
+@query()
+def related_full(t: Tables) -> DataFrame:
+    one = t.symbols.where("kind = 'method'").agg(F.min("fqn")).first()
+    return similarity.related(t.symbols, graph.simple_digraph(t.method_calls), (one and one[0]) or "", 10)
