@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def name_tokens(c: Column) -> Column:
@@ -40,7 +41,7 @@ def token_pairs(symbols: DataFrame, least_shared: int = 2) -> DataFrame:
     return pairs.select(F.col("a.fqn").alias("a"), F.col("b.fqn").alias("b"), F.round(jaccard(F.col("a.tokens"), F.col("b.tokens")), 4).alias("score"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts (null: empty)."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

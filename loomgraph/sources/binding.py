@@ -62,7 +62,7 @@ BINDINGS = {
         cast(l.l_linenumber as bigint) as line_start, cast(l.l_quantity as bigint) as line_end, m.loc, case when l.l_returnflag = 'N' then m.parameter_count end as parameter_count, l.l_linestatus = 'F' as is_async,
         row_number() over (partition by m.fqn order by l.l_orderkey, l.l_linenumber, l.l_suppkey) as ordinal from lineitem l join methods m on m.k = l.l_partkey""",
     "soft_edges": """select m.fqn as source, t.fqn as target, case when e.event_type = 'view' then '' else concat(' ', e.event_type, ' ') end as type, case when e.event_type = 'error' then cast(null as double) else e.value / 100 end as confidence, e.event_id as ordinal
-        from events e join methods m on m.k = e.user_id join types t on t.k = e.event_id % (select count(*) from supplier)""",
+        from events e join methods m on m.k = e.user_id join methods t on t.k = e.event_id % (select count(*) from part)""",
     "invocations": """select concat('inv', cast(e.event_id as string)) as fqn, case e.event_type when 'click' then 'Resolve' when 'view' then 'GetService' when 'purchase' then 'GetRequiredService' else 'Other' end as method_name,
         case when e.event_type <> 'error' then concat('Supplier', cast(e.event_id % (select count(*) from supplier) as string), 'Service') end as generic_arg from events e""",
     "vectors": "select vec_id, embedding, label from embeddings",
