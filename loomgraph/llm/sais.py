@@ -66,7 +66,7 @@ def suffix_array(symbols: list[int], top: int) -> list[int]:
     return induce(order)
 
 
-def permuted_common_prefixes(data: bytes, order: list[int]) -> list[int]:
+def permuted_common_prefixes(data: bytes | list[int], order: list[int]) -> list[int]:
     """For each position of `data`, the common prefix of its suffix with the suffix before it in `order`."""
     n = len(data)
     before = [-1] * n
@@ -85,23 +85,31 @@ def permuted_common_prefixes(data: bytes, order: list[int]) -> list[int]:
     return out
 
 
-def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
+def repeated_starts(texts: list[bytes], length: int, origins: list[tuple] | None = None) -> list[np.ndarray]:
     """For each text, a flag per byte: does the string of `length` bytes from there also start anywhere else?
 
     All texts form one string in which the k-th is followed by a separator of its own (symbols above 255), so that no
-    common prefix crosses a text.
+    common prefix crosses a text.  `origins` gives (owner, position) of each text where texts may overlap in their
+    owners: starts at the same place of the same owner are one start.
     """
     symbols: list[int] = []
+    place: list[tuple] = []
     for k, t in enumerate(texts):
+        owner, at = origins[k] if origins else (k, 0)
         symbols.extend(t)
         symbols.append(256 + k)
+        place.extend((owner, at + i) for i in range(len(t) + 1))
     order = suffix_array(symbols, 255 + max(1, len(texts)))
-    common = np.array(permuted_common_prefixes(symbols, order) if symbols else [], np.int64)
+    common = permuted_common_prefixes(symbols, order)
     flags = np.zeros(len(symbols), bool)
-    hit = common >= length
-    flags |= hit
-    previous = np.array(order[:-1], np.int64)
-    flags[previous[hit[np.array(order[1:], np.int64)]]] = True
+    run: list[int] = []
+    for i in [*order, -1]:
+        if i >= 0 and run and common[i] >= length:
+            run.append(i)
+            continue
+        if len(run) > 1 and len({place[j] for j in run}) > 1:
+            flags[run] = True
+        run = [i]
     out, at = [], 0
     for t in texts:
         out.append(flags[at : at + len(t)])

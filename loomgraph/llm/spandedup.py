@@ -109,7 +109,7 @@ def _resolve(segments: DataFrame, length: int, anchor: int, resolve: str) -> Dat
     anchor hold as well."""
     w = length - anchor + 1
 
-    def settle(bs: list[bytes], left: np.ndarray, anc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def settle(bs: list[bytes], left: np.ndarray, anc: np.ndarray, owner: list[tuple], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and most place of the anchor in a repeated string, by segment; -1 if there is none."""
         least, most = np.full(len(bs), 1 << 30), np.full(len(bs), -1)
         if resolve == "windows":
@@ -125,7 +125,8 @@ def _resolve(segments: DataFrame, length: int, anchor: int, resolve: str) -> Dat
         else:
             cuts = np.flatnonzero(np.diff(anc)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(bs)]):
-                for i, flags in enumerate(repeated_starts(bs[lo:hi], length), lo):
+                origins = [(owner[i][:2] if n[i] == 1 else i, owner[i][2] - int(left[i])) for i in range(lo, hi)]
+                for i, flags in enumerate(repeated_starts(bs[lo:hi], length, origins), lo):
                     at = np.flatnonzero(flags[max(0, left[i] - w + 1) : left[i] + 1]) + max(0, left[i] - w + 1)
                     if len(at):
                         least[i], most[i] = left[i] - at[-1], left[i] - at[0]
@@ -137,7 +138,7 @@ def _resolve(segments: DataFrame, length: int, anchor: int, resolve: str) -> Dat
 
         def out(t: pa.Table) -> pa.RecordBatch:
             rid, k64, pos, anc, n, left = (t.column(c).to_numpy() for c in ("rid", "k64", "pos", "anchor", "n", "left"))
-            least, most = settle(t.column("bytes").to_pylist(), left.astype(np.int64), anc)
+            least, most = settle(t.column("bytes").to_pylist(), left.astype(np.int64), anc, list(zip(rid.tolist(), k64.tolist(), pos.tolist())), n)
             ok = (most >= 0) & (n == 1)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[ok], k64[ok], (pos[ok] - most[ok]).astype(np.int32), (pos[ok] - least[ok] + length).astype(np.int32))], names)
 
