@@ -28,7 +28,10 @@ from loomgraph.llm.sais import repeated_starts
 from loomgraph.llm.storage import cut, drop
 
 ANCHOR = 200
-WIDE = 4096
+#: Segments of an anchor up to this number are compared in one task (some 40 MB); more are counted by keys.
+WIDE = 50_000
+#: Strings whose keys a task holds at once.
+HELD_KEYS = 1_000_000
 _I64 = lambda a: pa.array(a.view(np.int64) if a.dtype == np.uint64 else a)
 
 
@@ -87,21 +90,25 @@ def _segments(rows: DataFrame, wanted: DataFrame, length: int, anchor: int) -> D
     return joined.select("rid", "k64", "text", "want").mapInArrow(fetch, "rid long, k64 long, pos int, anchor long, n long, bytes binary, left int")
 
 
-def _window_keys(segs: list[bytes], left: np.ndarray, anchor: np.ndarray, length: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window_keys(segs: list[bytes], left: np.ndarray, anchor: np.ndarray, length: int, w: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For every string of `length` bytes with the anchor among its choices: segment number, place of the anchor in it,
-    and a key that equal strings of the anchor share."""
+    and a key that equal strings of the anchor share; in blocks of places of about HELD_KEYS strings, so that equal
+    strings are in one block."""
     data = np.frombuffer(b"".join(segs), np.uint8)
+    sums = bt.prefix(data)
     sizes = np.fromiter(map(len, segs), np.int64, len(segs))
     start = np.cumsum(sizes) - sizes
     right = sizes - left
-    least, most = np.maximum(length - right, 0), np.minimum(left, w - 1)
-    count = np.maximum(most - least + 1, 0)
-    seg = np.repeat(np.arange(len(segs)), count)
-    place = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count) + least[seg]
-    at = start[seg] + left[seg] - place
-    h = bt.spans_hash(bt.prefix(data), at, at + length)
-    key = bt.mix(h + anchor.view(np.uint64)[seg] * bt.BASE + place.astype(np.uint64))
-    return seg, place, key
+    low, high = np.maximum(length - right, 0), np.minimum(left, w - 1)
+    step = max(1, HELD_KEYS // max(1, len(segs)))
+    for p in range(0, w, step):
+        least, most = np.maximum(low, p), np.minimum(high, p + step - 1)
+        count = np.maximum(most - least + 1, 0)
+        seg = np.repeat(np.arange(len(segs)), count)
+        place = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count) + least[seg]
+        at = start[seg] + left[seg] - place
+        h = bt.spans_hash(sums, at, at + length)
+        yield seg, place, bt.mix(h + anchor.view(np.uint64)[seg] * bt.BASE + place.astype(np.uint64))
 
 
 def _resolve(segments: DataFrame, length: int, anchor: int, resolve: str) -> DataFrame:
@@ -113,15 +120,15 @@ def _resolve(segments: DataFrame, length: int, anchor: int, resolve: str) -> Dat
         """Least and most place of the anchor in a repeated string, by segment; -1 if there is none."""
         least, most = np.full(len(bs), 1 << 30), np.full(len(bs), -1)
         if resolve == "windows":
-            seg, place, key = _window_keys(bs, left, anc, length, w)
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            same = np.zeros(len(k), bool)
-            same[1:] = k[1:] == k[:-1]
-            same[:-1] |= same[1:]
-            hit = order[same]
-            np.minimum.at(least, seg[hit], place[hit])
-            np.maximum.at(most, seg[hit], place[hit])
+            for seg, place, key in _window_keys(bs, left, anc, length, w):
+                order = np.argsort(key)
+                k = key[order]
+                same = np.zeros(len(k), bool)
+                same[1:] = k[1:] == k[:-1]
+                same[:-1] |= same[1:]
+                hit = order[same]
+                np.minimum.at(least, seg[hit], place[hit])
+                np.maximum.at(most, seg[hit], place[hit])
         else:
             cuts = np.flatnonzero(np.diff(anc)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(bs)]):
@@ -170,8 +177,8 @@ def _resolve_wide(segments: DataFrame, length: int, anchor: int) -> DataFrame:
             for s in range(0, len(b), 500):
                 t = b.slice(s, 500)
                 rid, k64, pos, anc, n, left = (t.column(t.schema.get_field_index(c)).to_numpy() for c in ("rid", "k64", "pos", "anchor", "n", "left"))
-                seg, place, key = _window_keys(t.column(t.schema.get_field_index("bytes")).to_pylist(), left.astype(np.int64), anc, length, w)
-                yield pa.RecordBatch.from_arrays([_I64(x) for x in (rid[seg], k64[seg], pos[seg], place.astype(np.int32), key, n[seg])], ["rid", "k64", "pos", "place", "key", "n"])
+                for seg, place, key in _window_keys(t.column(t.schema.get_field_index("bytes")).to_pylist(), left.astype(np.int64), anc, length, w):
+                    yield pa.RecordBatch.from_arrays([_I64(x) for x in (rid[seg], k64[seg], pos[seg], place.astype(np.int32), key, n[seg])], ["rid", "k64", "pos", "place", "key", "n"])
 
     each = segments.mapInArrow(keys, "rid long, k64 long, pos int, place int, key long, n long")
     again = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -185,7 +192,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     w = length - anchor + 1
     rows = _located(docs, id_col, text_col)
     occ = cut(_occurrences(rows, length, anchor))
-    per = occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("z")).where("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed"))
+    per = cut(occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("z")).where("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed")))
+    # `per` is a table of its own, so that the join may split an anchor that very many texts share
     live = cut(occ.join(per, "anchor"))
     drop(occ)
     whole = F.greatest(F.col("pos") - (w - 1), F.lit(0)).alias("lo"), (F.col("pos") + length).alias("hi")
