@@ -19,8 +19,8 @@ from loomgraph.llm.storage import cut
 
 #: The cache of common words is learned from about so many documents and holds so many words at most.  It only saves
 #: work: what it lacks is encoded by the same fold and joined back.
-CACHE_DOCUMENTS = 12_000
-CACHE_WORDS = 150_000
+CACHE_DOCUMENTS = 10_000
+CACHE_WORDS = 80_000
 _NONE = 1 << 20
 
 
@@ -104,9 +104,11 @@ def _cache(codec: Codec, rows: DataFrame) -> tuple[Column, int, int] | None:
     n = rows.count()
     sample = rows.where(F.pmod(F.xxhash64(F.lit("cache"), "text"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, CACHE_DOCUMENTS / max(1, n)))))
     top = sample.selectExpr(f"explode({codec.words('text')}) as w").where("instr(w, char(0)) = 0").groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(CACHE_WORDS)
-    got = [tuple(r) for r in codec.encode_words(cut(top).repartition(12)).collect()]  # CACHE_WORDS at most
-    if not got:
+    coded = codec.encode_words(cut(top).repartition(12)).agg(F.collect_list(F.struct("w", "ids")).alias("x"))  # CACHE_WORDS at most, as two strings
+    text = coded.select(F.expr("array_join(x.w, char(0))").alias("w"), F.expr("array_join(x.ids, ' ')").alias("ids")).first()
+    if not text["ids"]:
         return None
+    got = list(zip(text["w"].split("\0"), text["ids"].split(" ")))
     p, q, first, second = literals.two_place([literals.hash_of(w) for w, _ in got])
     arrays = [literals.strings(["" if i is None else got[i][k] for i in table]).alias(f"{name}{k}") for name, table in (("a", first), ("b", second)) for k in (0, 1)]
     return F.struct(*arrays), p, q
@@ -119,6 +121,8 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
     columns are untouched.  The cost of a text is in proportion to its length, but for the words outside the cache of
     common words: they are looked up in a list of the text's own.
     """
+    if docs.sparkSession.conf.get("spark.sql.maxPlanStringLength") == str(2**31 - 16):
+        docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)  # the constant tables would fill the driver's plan descriptions
     inner = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__k", F.xxhash64("__text"))
     cache = _cache(codec, docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     words = codec.words("__text")

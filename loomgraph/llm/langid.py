@@ -15,7 +15,7 @@ from loomgraph.llm.sampling import per_class
 
 DIMENSIONS = 4096
 #: About so many documents of each language are used to fit; more are not needed for linear models of this size.
-FIT_PER_LANGUAGE = 800
+FIT_PER_LANGUAGE = 400
 #: Families of languages by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi".split(),
