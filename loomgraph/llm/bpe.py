@@ -121,7 +121,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
     columns are untouched.  The cost of a text is in proportion to its length, but for the words outside the cache of
     common words: they are looked up in a list of the text's own.
     """
-    if docs.sparkSession.conf.get("spark.sql.maxPlanStringLength") == str(2**31 - 16):
+    if docs.sparkSession.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == str(2**31 - 16):
         docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)  # the constant tables would fill the driver's plan descriptions
     inner = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__k", F.xxhash64("__text"))
     cache = _cache(codec, docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
