@@ -1,18 +1,27 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-The pre-tokenizer's matches are taken by the JVM's regular expressions.  Each distinct word that the cache of common
-words does not hold is encoded once: its bytes become symbols, and a fold merges the adjacent pair of least rank until
-no pair has a rank, the ranks coming from a constant table.  Encoded words go back to their documents by a join on the
-text's hash.  Decoding concatenates the binary pieces of the identifiers.
+"""Byte-level BPE encoding and decoding.
+
+Words are the pre-tokenizer's matches.  Each distinct word is encoded once, with Spark's higher-order functions: its
+bytes become symbols, and a fold merges the adjacent pair of least rank until no pair has a rank, the ranks coming from
+a constant table.  Encoded words go back to their documents by a join on the text's hash, common ones through a cache
+of bounded size.  Taking the words of a text and putting their identifiers in a row is done by Arrow batches in Python:
+the same steps as higher-order functions over all words of all texts took several times as long (see the README).
+Decoding concatenates the binary pieces of the identifiers.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
+import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import literals
 from loomgraph.llm.storage import cut
@@ -30,9 +39,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def java_pattern(pattern: str) -> str:
-    r"""The pattern with \s and \S meaning Unicode white space, as in the library's engine."""
-    white = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+def explicit_pattern(pattern: str) -> str:
+    r"""The pattern with \s and \S spelled out as Unicode white space, as in the library's engine."""
+    white = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     inside = re.sub(r"\[([^\]]*)\\s([^\]]*)\]", lambda m: f"[{m[1]}{white}{m[2]}]", pattern)
     return inside.replace("\\S", f"[^{white}]").replace("\\s", f"[{white}]")
 
@@ -42,7 +51,7 @@ class Codec:
     the library."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = java_pattern(pattern)
+        self.pattern = explicit_pattern(pattern)
         pairs: dict[int, int] = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -53,15 +62,9 @@ class Codec:
         self.p, self.q, first, second = literals.two_place(keys)
         pack = lambda table: literals.longs([-1 if i is None else keys[i] * 65536 + pairs[keys[i]] for i in table])
         self.ranks = F.struct(pack(first).alias("a"), pack(second).alias("b"), literals.longs([ranks[bytes([b])] for b in range(256)]).alias("bytes"))
-        pieces = [""] * (max(ranks.values()) + 1)
+        self.pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            pieces[rank] = token.hex()
-        self.pieces = literals.strings(pieces)
-
-    def words(self, text: str) -> str:
-        """SQL for the pre-tokenizer's matches in the column `text`."""
-        quoted = self.pattern.replace("\\", "\\\\").replace("'", "\\'")
-        return f"regexp_extract_all({text}, '{quoted}', 0)"
+            self.pieces[rank] = token
 
     def _rank(self, a: str, b: str) -> str:
         """Rank of the pair (a, b), or _NONE."""
@@ -90,8 +93,13 @@ class Codec:
 
     def decode(self, coded: DataFrame, ids: str = "ids", name: str = "decoded") -> DataFrame:
         """`coded` with a binary column: the bytes of the identifiers that column `ids` holds joined by commas."""
-        pieces = _let("__pieces", "t", f"array_join(transform(split({ids}, ','), i -> t[int(i)]), '')")
-        return coded.withColumn("__pieces", self.pieces).withColumn(name, F.expr(f"if({ids} = '', X'', unhex({pieces}))")).drop("__pieces")
+        sent = coded.sparkSession.sparkContext.broadcast(self.pieces)  # the vocabulary
+
+        def join(column: pd.Series) -> pd.Series:
+            piece = sent.value.__getitem__
+            return column.map(lambda x: b"".join(map(piece, map(int, x.split(",")))) if x else b"")
+
+        return coded.withColumn(name, F.pandas_udf(join, T.BinaryType())(F.col(ids)))
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -99,45 +107,61 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _cache(codec: Codec, rows: DataFrame) -> tuple[Column, int, int] | None:
-    """The cache of common words as a constant: a struct of four arrays, and the two moduli."""
+def _cache(codec: Codec, rows: DataFrame) -> Broadcast:
+    """Common words and their identifiers, for the workers: CACHE_WORDS at most."""
     n = rows.count()
+    pattern = codec.pattern
     sample = rows.where(F.pmod(F.xxhash64(F.lit("cache"), "text"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, CACHE_DOCUMENTS / max(1, n)))))
-    top = sample.selectExpr(f"explode({codec.words('text')}) as w").where("instr(w, char(0)) = 0").groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(CACHE_WORDS)
-    coded = codec.encode_words(cut(top).repartition(12)).agg(F.collect_list(F.struct("w", "ids")).alias("x"))  # CACHE_WORDS at most, as two strings
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        for b in batches:
+            c = Counter(w for t in b.column(0).to_pylist() for w in find(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
+
+    top = sample.select("text").mapInArrow(count, "w string, n long").where("instr(w, char(0)) = 0").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(CACHE_WORDS)
+    coded = codec.encode_words(cut(top).repartition(12)).agg(F.collect_list(F.struct("w", "ids")).alias("x"))  # as two strings
     text = coded.select(F.expr("array_join(x.w, char(0))").alias("w"), F.expr("array_join(x.ids, ' ')").alias("ids")).first()
-    if not text["ids"]:
-        return None
-    got = list(zip(text["w"].split("\0"), text["ids"].split(" ")))
-    p, q, first, second = literals.two_place([literals.hash_of(w) for w, _ in got])
-    arrays = [literals.strings(["" if i is None else got[i][k] for i in table]).alias(f"{name}{k}") for name, table in (("a", first), ("b", second)) for k in (0, 1)]
-    return F.struct(*arrays), p, q
+    known = dict(zip(text["w"].split("\0"), text["ids"].split(" "))) if text["ids"] else {}
+    return rows.sparkSession.sparkContext.broadcast(known)
 
 
 def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "ids") -> DataFrame:
     """`docs` with a column `name`: the identifiers of each whole text joined by commas ('' for null and empty texts).
 
     Repeated rows stay repeated, rows without an id are encoded like others, an empty table gives no rows, and the other
-    columns are untouched.  The cost of a text is in proportion to its length, but for the words outside the cache of
-    common words: they are looked up in a list of the text's own.
+    columns are untouched.
     """
     if docs.sparkSession.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == str(2**31 - 16):
         docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)  # the constant tables would fill the driver's plan descriptions
     inner = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__k", F.xxhash64("__text"))
-    cache = _cache(codec, docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    words = codec.words("__text")
-    if cache:
-        inner = inner.withColumn("__cache", cache[0])
-        i, j = (f"int(pmod(xxhash64(w), {m}L))" for m in cache[1:])
-        known = f"case when t.a0[{i}] = w then t.a1[{i}] when t.b0[{j}] = w then t.b1[{j}] end"
-    else:
-        inner, known = inner.withColumn("__cache", F.lit(0)), "cast(null as string)"
-    rare = cut(inner.selectExpr("__k", f"explode({_let('__cache', 't', f'array_distinct(filter({words}, w -> ({known}) is null))')}) as w"))
+    sent, pattern = _cache(codec, inner.select(F.col("__text").alias("text"))), codec.pattern
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known = regex.compile(pattern).findall, sent.value.keys()
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                k, w = [], []
+                for key, text in zip(b.column(0).slice(lo, 500).to_pylist(), b.column(1).slice(lo, 500).to_pylist()):
+                    rare = set(find(text)) - known
+                    k.extend([key] * len(rare))
+                    w.extend(rare)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(w, pa.string())], ["__k", "w"])
+
+    rare = cut(inner.select("__k", "__text").mapInArrow(outside, "__k long, w string"))
     coded = codec.encode_words(rare.select("w").distinct())
-    own = rare.join(coded, "w").groupBy("__k").agg(F.map_from_entries(F.collect_set(F.struct("w", "ids"))).alias("__own"))
-    joined = inner.drop("__cache").join(own, "__k", "left").withColumn("__cache", cache[0] if cache else F.lit(0))
-    ids = f"array_join({_let('__cache', 't', f'transform({words}, w -> coalesce({known}, __own[w]))')}, ',')"
-    return joined.withColumn(name, F.expr(ids)).drop("__text", "__k", "__own", "__cache")
+    own = rare.join(coded, "w").groupBy("__k").agg(F.collect_set(F.struct("w", "ids")).alias("__own")).select("__k", F.col("__own.w").alias("__w"), F.col("__own.ids").alias("__i"))
+
+    def put(texts: pd.Series, words: pd.Series, ids: pd.Series) -> pd.Series:
+        find, known = regex.compile(pattern).findall, sent.value.get
+        out = []
+        for text, w, i in zip(texts, words, ids):
+            own = {} if w is None else dict(zip(w, i))
+            out.append(",".join([known(x) or own[x] for x in find(text)]))
+        return pd.Series(out, dtype=object)
+
+    joined = inner.join(own, "__k", "left")
+    return joined.withColumn(name, F.pandas_udf(put, T.StringType())("__text", "__w", "__i")).drop("__text", "__k", "__w", "__i")
 
 
 def count_ids(ids: Column) -> Column:

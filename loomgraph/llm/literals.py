@@ -7,12 +7,9 @@ Spark's own map literals are searched from the front.
 
 from __future__ import annotations
 
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMPTY = -(2**63)
-
 
 def _primes(least: int) -> tuple[int, int]:
     found, n = [], max(11, least) | 1
@@ -47,14 +44,3 @@ def two_place(keys: list[int]) -> tuple[int, int, list[int | None], list[int | N
 def longs(values: list[int]) -> Column:
     """An array<bigint> literal."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
-def strings(values: list[str]) -> Column:
-    """An array<string> literal; the values must not hold NUL."""
-    return F.split(F.lit("\0".join(values)), "\0")
-
-
-def hash_of(word: str) -> int:
-    """Spark's xxhash64 of a string."""
-    h = xxhash.xxh64_intdigest(word.encode(), 42)
-    return h - (1 << 64) if h >> 63 else h
