@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
-Words are the pre-tokenizer's matches.  Each distinct word is encoded once, with Spark's higher-order functions: its
-bytes become symbols, and a fold merges the adjacent pair of least rank until no pair has a rank, the ranks coming from
-a constant table.  Encoded words go back to their documents by a join on the text's hash, common ones through a cache
-of bounded size.  Taking the words of a text and putting their identifiers in a row is done by Arrow batches in Python:
-the same steps as higher-order functions over all words of all texts took several times as long (see the README).
-Decoding concatenates the binary pieces of the identifiers.
+Words are the pre-tokenizer's matches.  A match that is a token of the vocabulary is that token, as in the library.  The
+distinct other words of a text are encoded with Spark's higher-order functions: the bytes of a word become symbols, and
+a fold merges the adjacent pair of least rank until no pair has a rank, the ranks coming from a constant table.  Common
+words are folded once beforehand and sent to the workers, in bounded number.  Taking the words of a text is done by
+Arrow batches in Python, which leave a hole for each word that is not known; the fold's results fill the holes, all in
+one pass over the texts without a shuffle.  Decoding concatenates the binary pieces of the identifiers.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -27,7 +26,7 @@ from loomgraph.llm import literals
 from loomgraph.llm.storage import cut
 
 #: The cache of common words is learned from about so many documents and holds so many words at most.  It only saves
-#: work: what it lacks is encoded by the same fold and joined back.
+#: work: what it lacks is encoded by the same fold, text by text.
 CACHE_DOCUMENTS = 10_000
 CACHE_WORDS = 80_000
 _NONE = 1 << 20
@@ -72,14 +71,14 @@ class Codec:
         x, y = f"t.a[int({key} % {self.p})]", f"t.b[int({key} % {self.q})]"
         return f"case when shiftright({x}, 16) = {key} then {x} & 65535L when shiftright({y}, 16) = {key} then {y} & 65535L else {_NONE}L end"
 
-    def encode_words(self, words: DataFrame, column: str = "w") -> DataFrame:
-        """(w, ids) of distinct words: the identifiers of each, joined by commas.
+    def _fold(self, word: str) -> str:
+        """The identifiers of `word`, joined by commas, with the constant table under the name t.
 
         The fold has as many steps as a word has bytes, less one; its state is the symbols and the ranks of their
         adjacent pairs, of which a merge changes two.
         """
         none = "cast(array() as array<bigint>)"
-        symbols = f"transform(split(decode(encode({column}, 'UTF-8'), 'ISO-8859-1'), ''), c -> t.bytes[ascii(c)])"
+        symbols = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), c -> t.bytes[ascii(c)])"
         start = f"struct(x0 as x, if(size(x0) > 1, transform(slice(x0, 2, size(x0)), (b, i) -> {self._rank('x0[i]', 'b')}), {none}) as r)"
         left = f"if(p > 1, array({self._rank('s.x[p - 2]', 'm')}), {none})"
         right = f"if(p < size(s.r), array({self._rank('m', 's.x[p + 1]')}), {none})"
@@ -88,18 +87,36 @@ class Codec:
         merged = _let("cast(array_position(s.r, m) as int)", "p", f"struct({x} as x, {r} as r)")
         step = _let(f"coalesce(array_min(s.r), {_NONE}L)", "m", f"if(m >= {_NONE}L, s, {merged})")
         fold = f"aggregate(sequence(1, greatest(size(x0) - 1, 1)), {start}, (s, k) -> {step}, s -> array_join(cast(s.x as array<string>), ','))"
-        whole = _let("__ranks", "t", _let(symbols, "x0", fold))
-        return words.withColumn("__ranks", self.ranks).select(F.col(column).alias("w"), F.expr(whole).alias("ids"))
+        return _let(symbols, "x0", fold)
+
+    def encode_words(self, words: DataFrame, column: str = "w") -> DataFrame:
+        """(w, ids) of distinct words: the identifiers of each, joined by commas."""
+        return words.withColumn("__ranks", self.ranks).select(F.col(column).alias("w"), F.expr(_let("__ranks", "t", self._fold(column))).alias("ids"))
+
+    def fill(self, found: DataFrame, column: str, name: str) -> DataFrame:
+        """`found` with a column `name`: the identifiers of each text, from the words that `column` holds beside the
+        pieces of identifiers between them (struct<pieces, holes, words>, as `encode` takes them)."""
+        done = f"transform({column}.words, w -> {self._fold('w')})"
+        piece = f"zip_with({column}.pieces, {column}.holes, (a, h) -> concat_ws(',', nullif(a, ''), d[h]))"
+        filled = _let("__ranks", "t", _let(done, "d", f"array_join(filter({piece}, a -> a <> ''), ',')"))
+        whole = f"if(size({column}.words) = 0, {column}.pieces[0], {filled})"
+        return found.withColumn("__ranks", self.ranks).withColumn(name, F.expr(whole)).drop("__ranks")
 
     def decode(self, coded: DataFrame, ids: str = "ids", name: str = "decoded") -> DataFrame:
         """`coded` with a binary column: the bytes of the identifiers that column `ids` holds joined by commas."""
-        sent = coded.sparkSession.sparkContext.broadcast(self.pieces)  # the vocabulary
+        sent = coded.sparkSession.sparkContext.broadcast({str(i): p for i, p in enumerate(self.pieces)})  # the vocabulary
 
-        def join(column: pd.Series) -> pd.Series:
+        kind = T.StructType([f for f in coded.schema.fields if f.name != name] + [T.StructField(name, T.BinaryType())])
+        carried = kind.names[:-1]
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece = sent.value.__getitem__
-            return column.map(lambda x: b"".join(map(piece, map(int, x.split(",")))) if x else b"")
+            for b in batches:
+                texts = [b"".join(map(piece, x.split(","))) if x else b"" for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in carried] + [pa.array(texts, pa.binary())], [*carried, name])
 
-        return coded.withColumn(name, F.pandas_udf(join, T.BinaryType())(F.col(ids)))
+        # over whole rows: the planner leaves out a function of one column that hangs on another's result in a lambda
+        return coded.mapInArrow(join, kind)
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -107,11 +124,17 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _cache(codec: Codec, rows: DataFrame) -> Broadcast:
-    """Common words and their identifiers, for the workers: CACHE_WORDS at most."""
-    n = rows.count()
-    pattern = codec.pattern
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("cache"), "text"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, CACHE_DOCUMENTS / max(1, n)))))
+def _cache(codec: Codec, texts: DataFrame) -> Broadcast:
+    """Identifiers of the vocabulary's own words and of other common words, for the workers: CACHE_WORDS beside the
+    vocabulary at most."""
+    n = texts.count()
+    pattern, own = codec.pattern, {}
+    for i, piece in enumerate(codec.pieces):
+        try:
+            own[piece.decode()] = str(i)
+        except UnicodeDecodeError:  # part of a character: no word
+            continue
+    sample = texts.where(F.pmod(F.xxhash64(F.lit("cache"), "text"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, CACHE_DOCUMENTS / max(1, n)))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
@@ -123,7 +146,7 @@ def _cache(codec: Codec, rows: DataFrame) -> Broadcast:
     coded = codec.encode_words(cut(top).repartition(12)).agg(F.collect_list(F.struct("w", "ids")).alias("x"))  # as two strings
     text = coded.select(F.expr("array_join(x.w, char(0))").alias("w"), F.expr("array_join(x.ids, ' ')").alias("ids")).first()
     known = dict(zip(text["w"].split("\0"), text["ids"].split(" "))) if text["ids"] else {}
-    return rows.sparkSession.sparkContext.broadcast(known)
+    return texts.sparkSession.sparkContext.broadcast(known | own)
 
 
 def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "ids") -> DataFrame:
@@ -134,34 +157,34 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
     """
     if docs.sparkSession.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == str(2**31 - 16):
         docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)  # the constant tables would fill the driver's plan descriptions
-    inner = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__k", F.xxhash64("__text"))
-    sent, pattern = _cache(codec, inner.select(F.col("__text").alias("text"))), codec.pattern
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sent, pattern = _cache(codec, docs.select(text.alias("text"))), codec.pattern
+    kind = "struct<pieces: array<string>, holes: array<int>, words: array<string>>"
 
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = regex.compile(pattern).findall, sent.value.keys()
-        for b in batches:
-            for lo in range(0, len(b), 500):
-                k, w = [], []
-                for key, text in zip(b.column(0).slice(lo, 500).to_pylist(), b.column(1).slice(lo, 500).to_pylist()):
-                    rare = set(find(text)) - known
-                    k.extend([key] * len(rare))
-                    w.extend(rare)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(w, pa.string())], ["__k", "w"])
-
-    rare = cut(inner.select("__k", "__text").mapInArrow(outside, "__k long, w string"))
-    coded = codec.encode_words(rare.select("w").distinct())
-    own = rare.join(coded, "w").groupBy("__k").agg(F.collect_set(F.struct("w", "ids")).alias("__own")).select("__k", F.col("__own.w").alias("__w"), F.col("__own.ids").alias("__i"))
-
-    def put(texts: pd.Series, words: pd.Series, ids: pd.Series) -> pd.Series:
+    def take(texts: pa.Array) -> pa.Array:
         find, known = regex.compile(pattern).findall, sent.value.get
-        out = []
-        for text, w, i in zip(texts, words, ids):
-            own = {} if w is None else dict(zip(w, i))
-            out.append(",".join([known(x) or own[x] for x in find(text)]))
-        return pd.Series(out, dtype=object)
-
-    joined = inner.join(own, "__k", "left")
-    return joined.withColumn(name, F.pandas_udf(put, T.StringType())("__text", "__w", "__i")).drop("__text", "__k", "__w", "__i")
+        pieces, holes, words, ends, word_ends = [], [], [], [0], [0]
+        for t in texts:
+            found = find(t.as_py())
+            ids = list(map(known, found))
+            new: dict[str, int] = {}
+            at = 0
+            if None in ids:
+                for i, x in enumerate(ids):
+                    if x is None:
+                        pieces.append(",".join(ids[at:i]))
+                        holes.append(new.setdefault(found[i], len(new)))
+                        at = i + 1
+            pieces.append(",".join(ids[at:]))
+            holes.append(None)  # no word follows the last piece
+            words.extend(new)
+            ends.append(len(pieces))
+            word_ends.append(len(words))
+        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, k)) for e, v, k in ((ends, pieces, pa.string()), (ends, holes, pa.int32()), (word_ends, words, pa.string()))]
+        return pa.StructArray.from_arrays(lists, names=["pieces", "holes", "words"])
+
+    taken = docs.withColumn("__found", F.arrow_udf(take, kind)(text))
+    return codec.fill(taken, "__found", name).drop("__found")
 
 
 def count_ids(ids: Column) -> Column:
@@ -170,7 +193,7 @@ def count_ids(ids: Column) -> Column:
 
 def digests(docs: DataFrame, codec: Codec) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row."""
-    coded = codec.decode(encode(docs.select("doc_id", "text"), codec))
+    coded = codec.decode(encode(docs.select("doc_id", "text"), codec).select("doc_id", "ids"))
     return coded.select("doc_id", count_ids(F.col("ids")).alias("n_tokens"), F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
