@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -27,9 +27,13 @@ from loomgraph.llm.storage import cut
 
 #: The cache of common words is learned from about so many documents and holds so many words at most.  It only saves
 #: work: what it lacks is encoded by the same fold, text by text.
-CACHE_DOCUMENTS = 10_000
-CACHE_WORDS = 80_000
-_NONE = 1 << 20
+CACHE_DOCUMENTS = 20_000
+CACHE_WORDS = 160_000
+#: Texts that a worker holds at once.
+BATCH = 500
+#: Rank of pairs without one, and the symbol after the last; identifiers are below both.
+_NONE = 1 << 16
+_END = _NONE - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,43 +55,38 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = explicit_pattern(pattern)
-        pairs: dict[int, int] = {}
+        pairs: dict[tuple[int, int], int] = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    pairs[a * 65536 + b] = rank
-        keys = list(pairs)
-        self.p, self.q, first, second = literals.two_place(keys)
-        pack = lambda table: literals.longs([-1 if i is None else keys[i] * 65536 + pairs[keys[i]] for i in table])
-        self.ranks = F.struct(pack(first).alias("a"), pack(second).alias("b"), literals.longs([ranks[bytes([b])] for b in range(256)]).alias("bytes"))
+                    pairs[a, b] = rank
+        first, rows = literals.displaced(pairs, _END + 1)
+        self.ranks = F.struct(literals.longs(first).alias("d"), literals.longs(rows).alias("r"), literals.longs([ranks[bytes([b])] for b in range(256)]).alias("bytes"))
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.pieces[rank] = token
 
     def _rank(self, a: str, b: str) -> str:
-        """Rank of the pair (a, b), or _NONE."""
-        key = f"({a} * 65536L + {b})"
-        x, y = f"t.a[int({key} % {self.p})]", f"t.b[int({key} % {self.q})]"
-        return f"case when shiftright({x}, 16) = {key} then {x} & 65535L when shiftright({y}, 16) = {key} then {y} & 65535L else {_NONE}L end"
+        """Rank of the pair (a, b) in its place of a state, _NONE there if it has none."""
+        return f"shiftleft(least(t.r[t.d[{a}] + {b}] ^ shiftleft({a}, 20), {_NONE}L), 46)"
 
     def _fold(self, word: str) -> str:
         """The identifiers of `word`, joined by commas, with the constant table under the name t.
 
-        The fold has as many steps as a word has bytes, less one; its state is the symbols and the ranks of their
-        adjacent pairs, of which a merge changes two.
+        The fold has as many steps as a word has bytes, less one.  Its state is a number for each symbol, that has from
+        the top: the rank of the pair with the next symbol, the symbol's first byte, the symbol.  So the least number is
+        the leftmost pair of least rank, whose rank is the merged symbol.  An end symbol follows the last.
         """
-        none = "cast(array() as array<bigint>)"
-        symbols = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), c -> t.bytes[ascii(c)])"
-        start = f"struct(x0 as x, if(size(x0) > 1, transform(slice(x0, 2, size(x0)), (b, i) -> {self._rank('x0[i]', 'b')}), {none}) as r)"
-        left = f"if(p > 1, array({self._rank('s.x[p - 2]', 'm')}), {none})"
-        right = f"if(p < size(s.r), array({self._rank('m', 's.x[p + 1]')}), {none})"
-        x = "concat(slice(s.x, 1, p - 1), array(m), slice(s.x, p + 2, size(s.x)))"
-        r = f"concat(slice(s.r, 1, greatest(p - 2, 0)), {left}, {right}, slice(s.r, p + 2, size(s.r)))"
-        merged = _let("cast(array_position(s.r, m) as int)", "p", f"struct({x} as x, {r} as r)")
-        step = _let(f"coalesce(array_min(s.r), {_NONE}L)", "m", f"if(m >= {_NONE}L, s, {merged})")
-        fold = f"aggregate(sequence(1, greatest(size(x0) - 1, 1)), {start}, (s, k) -> {step}, s -> array_join(cast(s.x as array<string>), ','))"
-        return _let(symbols, "x0", fold)
+        symbols = f"concat(transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), c -> t.bytes[ascii(c)]), array({_END}L))"
+        start = f"transform(x, (b, i) -> if(b = {_END}L, {_NONE << 46}L, {self._rank('b', 'x[i + 1]')}) | shiftleft(cast(i as bigint), 16) | b)"
+        new = f"({self._rank('n', '(s[p + 1] & 65535L)')} | (m & {(1 << 46) - (1 << 16)}L) | n)"
+        before = f"({self._rank('(s[p - 2] & 65535L)', 'n')} | (s[p - 2] & {(1 << 46) - 1}L))"
+        merged = f"concat(slice(s, 1, greatest(p - 2, 0)), if(p > 1, array({before}, {new}), array({new})), slice(s, p + 2, size(s)))"
+        merged = _let("shiftright(m, 46)", "n", _let("cast(array_position(s, m) as int)", "p", merged))
+        step = _let("array_min(s)", "m", f"if(m >= {_NONE << 46}L, s, {merged})")
+        done = "s -> array_join(transform(slice(s, 1, size(s) - 1), e -> cast(e & 65535L as string)), ',')"
+        return _let(symbols, "x", f"aggregate(sequence(1, greatest(size(x) - 2, 1)), {start}, (s, k) -> {step}, {done})")
 
     def encode_words(self, words: DataFrame, column: str = "w") -> DataFrame:
         """(w, ids) of distinct words: the identifiers of each, joined by commas."""
@@ -111,7 +110,7 @@ class Codec:
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece = sent.value.__getitem__
-            for b in batches:
+            for b in (whole.slice(lo, BATCH) for whole in batches for lo in range(0, len(whole), BATCH)):
                 texts = [b"".join(map(piece, x.split(","))) if x else b"" for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in carried] + [pa.array(texts, pa.binary())], [*carried, name])
 
@@ -159,13 +158,14 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
         docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)  # the constant tables would fill the driver's plan descriptions
     text = F.coalesce(F.col(text_col), F.lit(""))
     sent, pattern = _cache(codec, docs.select(text.alias("text"))), codec.pattern
-    kind = "struct<pieces: array<string>, holes: array<int>, words: array<string>>"
+    kind = T._parse_datatype_string("struct<pieces: array<string>, holes: array<int>, words: array<string>>")
+    rows = docs.withColumn("__text", text)
+    carried = docs.columns
 
-    def take(texts: pa.Array) -> pa.Array:
-        find, known = regex.compile(pattern).findall, sent.value.get
+    def taken(texts: list[str], find: Callable, known: Callable) -> pa.Array:
         pieces, holes, words, ends, word_ends = [], [], [], [0], [0]
         for t in texts:
-            found = find(t.as_py())
+            found = find(t)
             ids = list(map(known, found))
             new: dict[str, int] = {}
             at = 0
@@ -183,8 +183,16 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
         lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, k)) for e, v, k in ((ends, pieces, pa.string()), (ends, holes, pa.int32()), (word_ends, words, pa.string()))]
         return pa.StructArray.from_arrays(lists, names=["pieces", "holes", "words"])
 
-    taken = docs.withColumn("__found", F.arrow_udf(take, kind)(text))
-    return codec.fill(taken, "__found", name).drop("__found")
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known = regex.compile(pattern).findall, sent.value.get
+        for whole in batches:
+            for lo in range(0, len(whole), BATCH):
+                b = whole.slice(lo, BATCH)
+                cols = [b.column(b.schema.get_field_index(c)) for c in carried]
+                yield pa.RecordBatch.from_arrays([*cols, taken(b.column(b.schema.get_field_index("__text")).to_pylist(), find, known)], [*carried, "__found"])
+
+    found = rows.mapInArrow(take, T.StructType([*docs.schema.fields, T.StructField("__found", kind)]))
+    return codec.fill(found, "__found", name).drop("__found")
 
 
 def count_ids(ids: Column) -> Column:

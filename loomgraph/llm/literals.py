@@ -7,6 +7,7 @@ Spark's own map literals are searched from the front.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,35 @@ def two_place(keys: list[int]) -> tuple[int, int, list[int | None], list[int | N
         size = int(size * 1.3)
 
 
+def displaced(values: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int]]:
+    """(d, r) such that r[d[a] + b] ^ (a << 20) is the value of (a, b), and at least 2**20 if there is none.
+
+    The sparse rows of the table of all pairs (a, b < size, values below 2**20, a never size - 1) are laid over each
+    other, each moved by d[a] to where its entries meet free places; an entry names its row.
+    """
+    rows: dict[int, list[int]] = {}
+    for a, b in values:
+        rows.setdefault(a, []).append(b)
+    free = np.ones(4 * (size + len(values)), bool)
+    d = [0] * size
+    at, last = 0, 0
+    for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        b = np.array(rows[a])
+        if len(b) != last:  # rows of one length look on from where the one before found its place
+            at, last = 0, len(b)
+        while True:
+            fits = free[(at + np.arange(512))[:, None] + b].all(axis=1)
+            if fits.any():
+                break
+            at += 512
+        d[a] = at = at + int(fits.argmax())
+        free[at + b] = False
+    r = [(size - 1) << 20] * (max(d) + size)
+    for (a, b), value in values.items():
+        r[d[a] + b] = a << 20 | value
+    return d, r
+
+
 def longs(values: list[int]) -> Column:
     """An array<bigint> literal."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
