@@ -27,8 +27,8 @@ from loomgraph.llm.storage import cut
 
 #: The cache of common words is learned from about so many documents and holds so many words at most.  It only saves
 #: work: what it lacks is encoded by the same fold, text by text.
-CACHE_DOCUMENTS = 20_000
-CACHE_WORDS = 160_000
+CACHE_DOCUMENTS = 12_000
+CACHE_WORDS = 100_000
 #: Texts that a worker holds at once.
 BATCH = 500
 #: Rank of pairs without one, and the symbol after the last; identifiers are below both.
@@ -80,11 +80,11 @@ class Codec:
         """
         symbols = f"concat(transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), c -> t.bytes[ascii(c)]), array({_END}L))"
         start = f"transform(x, (b, i) -> if(b = {_END}L, {_NONE << 46}L, {self._rank('b', 'x[i + 1]')}) | shiftleft(cast(i as bigint), 16) | b)"
-        new = f"({self._rank('n', '(s[p + 1] & 65535L)')} | (m & {(1 << 46) - (1 << 16)}L) | n)"
-        before = f"({self._rank('(s[p - 2] & 65535L)', 'n')} | (s[p - 2] & {(1 << 46) - 1}L))"
-        merged = f"concat(slice(s, 1, greatest(p - 2, 0)), if(p > 1, array({before}, {new}), array({new})), slice(s, p + 2, size(s)))"
-        merged = _let("shiftright(m, 46)", "n", _let("cast(array_position(s, m) as int)", "p", merged))
-        step = _let("array_min(s)", "m", f"if(m >= {_NONE << 46}L, s, {merged})")
+        n = "shiftright(m, 46)"
+        new = f"{self._rank(n, '(s[p + 1] & 65535L)')} | (m & {(1 << 46) - (1 << 16)}L) | {n}"
+        before = f"{self._rank('(e & 65535L)', n)} | (e & {(1 << 46) - 1}L)"
+        merged = f"transform(array_remove(s, s[p]), (e, i) -> case when i = p - 1 then {new} when i = p - 2 then {before} else e end)"
+        step = _let("array_min(s)", "m", f"if(m >= {_NONE << 46}L, s, {_let('cast(array_position(s, m) as int)', 'p', merged)})")
         done = "s -> array_join(transform(slice(s, 1, size(s) - 1), e -> cast(e & 65535L as string)), ',')"
         return _let(symbols, "x", f"aggregate(sequence(1, greatest(size(x) - 2, 1)), {start}, (s, k) -> {step}, {done})")
 
