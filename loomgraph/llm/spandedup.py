@@ -94,21 +94,24 @@ def _window_keys(segs: list[bytes], left: np.ndarray, anchor: np.ndarray, length
     """For every string of `length` bytes with the anchor among its choices: segment number, place of the anchor in it,
     and a key that equal strings of the anchor share; in blocks of places of about HELD_KEYS strings, so that equal
     strings are in one block."""
-    data = np.frombuffer(b"".join(segs), np.uint8)
-    sums = bt.prefix(data)
     sizes = np.fromiter(map(len, segs), np.int64, len(segs))
-    start = np.cumsum(sizes) - sizes
-    right = sizes - left
-    low, high = np.maximum(length - right, 0), np.minimum(left, w - 1)
+    low, high = np.maximum(length - sizes + left, 0), np.minimum(left, w - 1)
+    until = np.cumsum(sizes)
+    cuts = np.unique(np.searchsorted(until, np.arange(0, int(until[-1]), bt.PIECE_BYTES), side="right")) if len(segs) else []
     step = max(1, HELD_KEYS // max(1, len(segs)))
     for p in range(0, w, step):
-        least, most = np.maximum(low, p), np.minimum(high, p + step - 1)
-        count = np.maximum(most - least + 1, 0)
-        seg = np.repeat(np.arange(len(segs)), count)
-        place = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count) + least[seg]
-        at = start[seg] + left[seg] - place
-        h = bt.spans_hash(sums, at, at + length)
-        yield seg, place, bt.mix(h + anchor.view(np.uint64)[seg] * bt.BASE + place.astype(np.uint64))
+        parts = []
+        for first, last in zip(cuts, [*cuts[1:], len(segs)]):  # hashed a piece at a time, anew for each block of places
+            least, most = np.maximum(low[first:last], p), np.minimum(high[first:last], p + step - 1)
+            count = np.maximum(most - least + 1, 0)
+            seg = np.repeat(np.arange(last - first), count)
+            place = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count) + least[seg]
+            at = (until[first:last] - sizes[first:last] - (until[first] - sizes[first]) + left[first:last])[seg] - place
+            h = bt.spans_hash(bt.prefix(np.frombuffer(b"".join(segs[first:last]), np.uint8)), at, at + length)
+            seg += first
+            parts.append((seg, place, bt.mix(h + anchor.view(np.uint64)[seg] * bt.BASE + place.astype(np.uint64))))
+        if parts:
+            yield tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _resolve(segments: DataFrame, length: int, anchor: int, resolve: str) -> DataFrame:
