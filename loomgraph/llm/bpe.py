@@ -27,8 +27,8 @@ from loomgraph.llm.storage import cut
 
 #: The cache of common words is learned from about so many documents and holds so many words at most.  It only saves
 #: work: what it lacks is encoded by the same fold, text by text.
-CACHE_DOCUMENTS = 12_000
-CACHE_WORDS = 100_000
+CACHE_DOCUMENTS = 8_000
+CACHE_WORDS = 60_000
 #: Texts that a worker holds at once.
 BATCH = 500
 #: Rank of pairs without one, and the symbol after the last; identifiers are below both.
