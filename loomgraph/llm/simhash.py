@@ -105,9 +105,3 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """The contract query: 3-word shingles, links at two or fewer bits, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """`docs` with one row of each group of near-duplicates: the one with the least doc_id (all rows without an id stay)."""
-    drop = near_duplicates(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
