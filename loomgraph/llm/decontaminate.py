@@ -152,9 +152,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col
     return per.join(total, "item_id").select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("all")).alias("coverage"), "same_slots")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id") -> DataFrame:
     """`docs` without the documents that hold a window of a benchmark item; rows without an id stay."""
-    return docs.join(contaminated(docs, benchmark, window).select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(contaminated(docs, benchmark, window, id_col).select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
