@@ -4,7 +4,9 @@ A text becomes a sequence of tokens: runs of letters, digits and bytes from 0x80
 names and units become typed placeholders, whose values are kept as slots.  Windows of `window` tokens of the
 benchmark items (a shorter item is one window) are hash-joined with those of the documents, so that a question with
 other numbers or names still meets its item; a hit counts only if the slots agree with each other: places that hold
-one value in the item hold one value in the document.
+one value in the item hold one value in the document.  Whether a window's first token is a name or a unit hangs on what
+stands before it, so that windows are looked up in both forms.  Windows with less than half literal tokens and items of
+fewer than 5 tokens say too little as templates; they are looked for by their exact tokens.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from loomgraph.llm.storage import cut
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hours minutes seconds days weeks months years usd eur gbp dollars euros cents percent kmh mph hz khz mhz ghz w kw mw v a k c f pa kpa bar j kj cal kcal b kb mb gb tb".split()
 #: Placeholder hashes.
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA1, 0xA2, 0xA3))
+#: Tells hashes of exact tokens from those of templates.
+EXACT = np.uint64(0x5EED0FEAC7)
+#: Tokens of the shortest item that is looked for as a template.
+LEAST = 5
 #: Windows of benchmark items whose hashes go to the executors at once; a larger benchmark is taken in blocks.
 BLOCK_WINDOWS = 500_000
 
@@ -45,7 +51,8 @@ UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, value, row) of each token: for a placeholder the hash is its type and the value what it replaces."""
+    """(hash, value, row) of each token: for a placeholder the hash is its type and the value what it replaces (a number
+    with its decimals)."""
     start, end, row = bt.words(data, offsets, _BREAK)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), row
@@ -68,9 +75,27 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     name[1:] &= ~_UPPER[data[end[:-1] - 1]]  # not within a text in capitals
     h = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
     keep = ~joined
+    first = np.flatnonzero(keep)
+    last = np.append(first[1:], len(keep)) - 1
+    long = last > first
+    value[first[long]] = bt.spans_hash(bt.prefix(low), start[first[long]], end[last[long]])
     return h[keep], value[keep], row[keep]
 
 
+def _alone(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The hash of each token as if nothing stood before it: no name, no unit."""
+    return np.where(h == NUMBER, h, value)
+
+
+def _other(h: np.ndarray, alone: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of n tokens at `at` in the other form of their first token, where there is one."""
+    at = at[alone[at] != h[at]]
+    x = alone[at]
+    for i in range(1, n):
+        x = x * bt.BASE + h[at + i]
+    return bt.mix(x), at
+
+
 def _windows(h: np.ndarray, row: np.ndarray, n_rows: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first token, length) of each window; a row with fewer tokens has one window of all its tokens."""
     keys, at = bt.grams(h, row, window)
@@ -93,8 +118,35 @@ def _slots(h: np.ndarray, value: np.ndarray, at: int, size: int) -> list[int]:
 _SCHEMA = "id long, whash long, pos int, size int, slots array<long>"
 
 
+def _item_windows(h: np.ndarray, value: np.ndarray, row: np.ndarray, n_rows: int, window: int) -> list[tuple]:
+    """(hash, first token, length, first token is alone, exact) of the windows of items."""
+    key, at, size = _windows(h, row, n_rows, window)
+    literal = np.concatenate([[0], np.cumsum(h > UNIT)])
+    ok = (2 * (literal[at + size] - literal[at]) >= size) & (size >= LEAST)
+    exact = _windows(value, row, n_rows, window)[0] ^ EXACT
+    parts = [(key[ok], at[ok], size[ok], False, False), (exact[~ok], at[~ok], size[~ok], False, True)]
+    alone = _alone(h, value)
+    for n in set(size[ok].tolist()):
+        k, a = _other(h, alone, at[ok & (size == n)], n)
+        parts.append((k, a, np.full(len(a), n), True, False))
+    return parts
+
+
+def _document_windows(h: np.ndarray, value: np.ndarray, row: np.ndarray, only: np.ndarray, lengths: list[int]) -> list[tuple]:
+    """The same of those windows of documents whose hashes are in `only`."""
+    parts = []
+    alone = _alone(h, value)
+    for n in lengths:
+        k, a = bt.grams(h, row, n)
+        for key, at, first, exact in ((k, a, False, False), (*_other(h, alone, a, n), True, False), (bt.grams(value, row, n)[0] ^ EXACT, a, False, True)):
+            j = np.minimum(np.searchsorted(only, key), len(only) - 1)
+            ok = only[j] == key
+            parts.append((key[ok], at[ok], np.full(int(ok.sum()), n), first, exact))
+    return parts
+
+
 def _emit(df: DataFrame, window: int, only: np.ndarray | None, lengths: list[int]) -> DataFrame:
-    """Windows of (id, text) rows; `only`: sorted hashes to keep.  `lengths` (documents): sizes of the short items, which are looked for too."""
+    """Windows of (id, text) rows; `only`: sorted hashes to keep, of windows of `lengths` tokens (documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,20 +154,13 @@ def _emit(df: DataFrame, window: int, only: np.ndarray | None, lengths: list[int
             for lo, hi, data, offsets in bt.pieces(bt.column(b, "text")):
                 h, value, row = canonical(data, offsets)
                 if only is None:
-                    key, at, size = _windows(h, row, hi - lo, window)
-                    literal = np.concatenate([[0], np.cumsum(h > UNIT)])
-                    ok = 2 * (literal[at + size] - literal[at]) >= size  # half of a window at least is literal
-                    key, at, size = key[ok], at[ok], size[ok]
+                    parts = _item_windows(h, value, row, hi - lo, window)
                 else:
-                    parts = []
-                    for n in [window, *lengths]:
-                        k, a = bt.grams(h, row, n)
-                        j = np.minimum(np.searchsorted(only, k), len(only) - 1)
-                        ok = only[j] == k
-                        parts.append((k[ok], a[ok], np.full(int(ok.sum()), n)))
-                    key, at, size = (np.concatenate(x) for x in zip(*parts))
-                if len(key):
-                    slots = [_slots(h, value, a, s) for a, s in zip(at, size)]
+                    parts = _document_windows(h, value, row, only, lengths)
+                for key, at, size, first, exact in parts:
+                    if not len(key):
+                        continue
+                    slots = [[] if exact else _slots(h, value, a + first, s - first) for a, s in zip(at, size)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][row[at]], pa.int64(), from_pandas=True), pa.array(key.view(np.int64)), pa.array((at - np.searchsorted(row, row[at])).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))], ["id", "whash", "pos", "size", "slots"])
 
     return df.mapInArrow(run, _SCHEMA)
@@ -126,11 +171,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col
 
     n_windows counts the item's windows found, coverage is their share of the item's windows, same_slots tells whether
     some hit has the item's own values.  Items of fewer than 5 tokens and windows with less than half literal tokens are
-    not looked for: they say too little.  Null and empty texts have no windows; rows without an id are not reported; an
+    looked for by their exact tokens.  Null and empty texts have no windows; rows without an id are not reported; an
     item that occurs twice in the benchmark counts once; an empty table on either side gives no rows.
     """
     items = _emit(benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), window, None, [])
-    items = cut(items.where("id is not null and size >= 5").dropDuplicates(["id", "whash", "pos"]))
+    items = cut(items.where("id is not null").dropDuplicates(["id", "whash", "pos"]))
     n = items.count()
     blocks = max(1, -(-n // BLOCK_WINDOWS))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
@@ -139,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col
         block = items.where(F.pmod("whash", F.lit(blocks)) == k) if blocks > 1 else items
         sent = block.select("whash", "size").distinct().toPandas()  # at most about BLOCK_WINDOWS rows
         only = np.sort(sent["whash"].to_numpy().view(np.uint64))
-        lengths = sorted(set(sent["size"].tolist()) - {window})
+        lengths = sorted(set(sent["size"].tolist()))
         found = _emit(rows, window, only, lengths)
         hits = found if hits is None else hits.union(found)
     if hits is None:
