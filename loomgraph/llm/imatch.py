@@ -8,8 +8,8 @@ sub-lexicons.  Two documents are alike in the share of sub-lexicons on which the
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from loomgraph.llm import literals
 from loomgraph.llm.storage import cut
@@ -24,6 +24,10 @@ RATES = (3, 5, 6, 7)
 PER_RATE = 8
 PARTS = len(RATES) * PER_RATE + 1
 WIDTH = 8
+#: Documents in the order of their ids are dealt out in ranges of about so many bytes; there are at most MOST_RANGES of
+#: them (their bounds are two constant arrays), larger ones beyond that.
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 20_000
 
 
 def terms(text: str) -> str:
@@ -77,19 +81,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _parts(rows, words, "text", "parts").select("doc_id", "parts", fingerprint("parts").alias("fingerprint"))
 
 
-def followers(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, next_id, next_k): for each different (doc_id, hash of text), the one that follows in their order,
-    and the first after the last; a row without an id comes first."""
-    ids = docs.select("doc_id", F.xxhash64("text").alias("k")).distinct()
-    placed = cut(ids.repartitionByRange("doc_id", "k").withColumn("b", F.spark_partition_id()))
-    first = {r["b"]: tuple(r["m"]) for r in placed.groupBy("b").agg(F.min(F.struct("doc_id", "k")).alias("m")).collect()}  # one row from each range
-    order = sorted(first)
-    bounds = [(b, *first[order[(i + 1) % len(order)]]) for i, b in enumerate(order)]
-    heads = placed.sparkSession.createDataFrame(bounds, "b int, f_id long, f_k long")
-    w = Window.partitionBy("b").orderBy("doc_id", "k")
-    with_next = placed.withColumn("n", F.lead(F.struct("doc_id", "k")).over(w)).join(F.broadcast(heads), "b")
-    n = F.coalesce("n", F.struct(F.col("f_id").alias("doc_id"), F.col("f_k").alias("k")))
-    return with_next.select("doc_id", "k", n.alias("n")).select("doc_id", "k", F.col("n.doc_id").alias("next_id"), F.col("n.k").alias("next_k"))
+def parts_of(fingerprint: str) -> str:
+    """SQL for the array of parts that a fingerprint joins."""
+    return f"transform(sequence(0, {PARTS - 1}), i -> nullif(substr({fingerprint}, i * {WIDTH} + 1, {WIDTH}), '{'-' * WIDTH}'))"
+
+
+def range_bounds(docs: DataFrame) -> list[tuple[int | None, int]]:
+    """The least (doc_id, hash of text) of each range, ascending: as many as MOST_RANGES at most."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = int(min(MOST_RANGES, size // RANGE_BYTES + 1))
+    placed = docs.select("doc_id", F.xxhash64("text").alias("k")).repartitionByRange(ranges, "doc_id", "k")
+    least = placed.groupBy(F.spark_partition_id().alias("b")).agg(F.min(F.struct("doc_id", "k")).alias("m"))
+    return [tuple(r["m"]) for r in least.orderBy("m").collect()] or [(None, 0)]
+
+
+def with_next(rows: DataFrame, bounds: list[tuple[int | None, int]], columns: tuple[str, ...]) -> DataFrame:
+    """`rows` (doc_id, text, ...) with next_<c> for each of `columns`, from the row that follows by (doc_id, hash of
+    text); the first follows the last, and a row without an id comes first.
+
+    The rows are dealt out once, by range.  The first row of a range goes to the range before as well, behind its last
+    row, so that each range finds its followers by itself.
+    """
+    lowest = -(2**63)
+    ids, ks = [lowest if i is None else i for i, _ in bounds], [k for _, k in bounds]
+    step = max(1, int(len(bounds) ** 0.5))
+    both = lambda a, b: F.arrays_zip(literals.longs(a), literals.longs(b))
+    passed = lambda h: (h["0"] < F.col("__id")) | ((h["0"] == F.col("__id")) & (h["1"] <= F.col("__k")))
+    every, some = both(ids, ks), both(ids[::step], ks[::step])
+    placed = rows.withColumn("__id", F.coalesce("doc_id", F.lit(lowest))).withColumn("__k", F.xxhash64("text"))
+    placed = placed.withColumn("__g", (F.size(F.filter(some, passed)) - 1) * step)
+    placed = placed.withColumn("__b", F.col("__g") + F.size(F.filter(F.slice(every, F.col("__g") + 1, F.lit(step)), passed)) - 1)
+    head = F.element_at(every, F.col("__b") + 1)
+    first = (head["0"] == F.col("__id")) & (head["1"] == F.col("__k"))
+    dealt = placed.withColumn("__behind", F.explode(F.when(first, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    dealt = dealt.withColumn("__b", F.when(F.col("__behind"), F.pmod(F.col("__b") - 1, F.lit(len(bounds)))).otherwise(F.col("__b")))
+    w = Window.partitionBy("__b").orderBy("__behind", "__id", "__k")
+    found = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("not __behind")
+    return found.drop("__id", "__k", "__g", "__b", "__behind")
 
 
 def op10_document_fingerprints(spark, sf_dir: str) -> DataFrame:
@@ -99,19 +127,16 @@ def op10_document_fingerprints(spark, sf_dir: str) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """The digest columns of each row of (doc_id, text without nulls); equal rows have the same follower, the next
-    different row."""
+    """The digest columns of each row of (doc_id, text without nulls).
+
+    Repeated rows stay repeated and follow each other; rows that share an id follow by the hash of their texts; a single
+    row follows itself; an empty table gives no rows.
+    """
     words = lexicon(docs)
-    after = cut(followers(docs))
-    base = docs.withColumn("k", F.xxhash64("text"))
-    same = lambda a, b: a.eqNullSafe(b)
-    d, a, x = base.alias("d"), after.alias("a"), base.dropDuplicates(["doc_id", "k"]).select(F.col("doc_id").alias("x_id"), F.col("k").alias("x_k"), F.col("text").alias("x_text")).alias("x")
-    moved = a.join(x, same(F.col("a.next_id"), F.col("x.x_id")) & (F.col("a.next_k") == F.col("x.x_k"))).select("a.doc_id", "a.k", F.col("x.x_text").alias("next_text")).alias("m")
-    both = d.join(moved, same(F.col("d.doc_id"), F.col("m.doc_id")) & (F.col("d.k") == F.col("m.k"))).select("d.doc_id", "d.k", "d.text", "m.next_text")
-    both = both.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, int(n_chars - floor(n_chars / 2))), left(next_text, int(floor(n_chars / 2))))"))
-    got = _parts(_parts(both, words, "text", "parts"), words, "edited", "edited_parts")
-    got = cut(got.select("doc_id", "k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "parts", "edited_parts"))
-    g, nx = got.alias("g"), got.select(F.col("doc_id").alias("n_id"), F.col("k").alias("n_k"), F.col("parts").alias("next_parts")).dropDuplicates(["n_id", "n_k"]).alias("n")
-    linked = g.join(a, same(F.col("g.doc_id"), F.col("a.doc_id")) & (F.col("g.k") == F.col("a.k"))).select("g.*", "a.next_id", "a.next_k").alias("l")
-    out = linked.join(nx, same(F.col("l.next_id"), F.col("n.n_id")) & (F.col("l.next_k") == F.col("n.n_k")))
-    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint("parts").alias("fingerprint"), fingerprint("edited_parts").alias("edited_fingerprint"), likeness("parts", "edited_parts").alias("near_edited"), likeness("parts", "next_parts").alias("near_next"))
+    rows = _parts(docs.select("doc_id", "text"), words, "text", "parts").select("doc_id", "text", fingerprint("parts").alias("fingerprint"))
+    both = with_next(rows, range_bounds(docs), ("text", "fingerprint")).withColumn("n_chars", F.char_length("text").cast("long"))
+    both = both.withColumn("edited", F.expr("concat(left(text, int(n_chars - floor(n_chars / 2))), left(next_text, int(floor(n_chars / 2))))"))
+    got = _parts(both, words, "edited", "edited_parts").withColumn("edited_fingerprint", fingerprint("edited_parts"))
+    got = got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_fingerprint")
+    near = lambda b, name: likeness(parts_of("fingerprint"), parts_of(b)).alias(name)
+    return got.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint", "near_edited"), near("next_fingerprint", "near_next"))
