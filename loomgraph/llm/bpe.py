@@ -6,11 +6,15 @@ a fold merges the adjacent pair of least rank until no pair has a rank, the rank
 words are folded once beforehand and sent to the workers, in bounded number.  Taking the words of a text is done by
 Arrow batches in Python, which leave a hole for each word that is not known; the fold's results fill the holes, all in
 one pass over the texts without a shuffle.  Decoding concatenates the binary pieces of the identifiers.
+
+The fold takes one step a byte over the whole state, so that its work grows with the square of a word's length.  Words
+of more than LONG_WORD bytes (unbroken runs of letters) have the same merges done with a heap and a linked list instead.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -27,10 +31,12 @@ from loomgraph.llm.storage import cut
 
 #: The cache of common words is learned from about so many documents and holds so many words at most.  It only saves
 #: work: what it lacks is encoded by the same fold, text by text.
-CACHE_DOCUMENTS = 8_000
-CACHE_WORDS = 60_000
+CACHE_DOCUMENTS = 30_000
+CACHE_WORDS = 250_000
 #: Texts that a worker holds at once.
 BATCH = 500
+#: Bytes of the longest word that is folded.
+LONG_WORD = 256
 #: Rank of pairs without one, and the symbol after the last; identifiers are below both.
 _NONE = 1 << 16
 _END = _NONE - 1
@@ -49,6 +55,59 @@ def explicit_pattern(pattern: str) -> str:
     return inside.replace("\\S", f"[^{white}]").replace("\\s", f"[{white}]")
 
 
+def merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
+    """The identifiers of one word: the leftmost pair of least rank is merged until no pair has a rank, in n log n steps."""
+    n = len(word)
+    symbols: list[bytes] = [word[i : i + 1] for i in range(n)]
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+    heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get(symbols[i] + symbols[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if j < 0 or symbols[i] != a or symbols[j] != b:
+            continue  # an end of the pair was merged meanwhile
+        symbols[i], symbols[j] = a + b, b""
+        after[i] = k = after[j]
+        after[j] = -1
+        if k >= 0:
+            before[k] = i
+        for x, y in ((i, k), (before[i], i)):
+            if x >= 0 and y >= 0 and (r := rank.get(symbols[x] + symbols[y])) is not None:
+                heapq.heappush(heap, (r, x, symbols[x], symbols[y]))
+    return [rank[x] for x in symbols if x]
+
+
+class Known:
+    """What a worker knows of words: the vocabulary's own, and the cache's, by their identifiers joined by commas."""
+
+    def __init__(self, pieces: list[bytes], words: str, ids: str):
+        self.rank = {p: i for i, p in enumerate(pieces) if p}
+        self.of = dict(zip(words.split("\0"), ids.split(" "))) if ids else {}
+        for piece, i in self.rank.items():
+            try:
+                self.of[piece.decode()] = str(i)
+            except UnicodeDecodeError:  # part of a character: no word
+                continue
+
+    def long(self, word: str) -> str | None:
+        """The identifiers of a word that is too long to be folded."""
+        if len(word) * 4 <= LONG_WORD or len(b := word.encode("utf-8", "surrogatepass")) <= LONG_WORD:
+            return None
+        return ",".join(map(str, merge_long(b, self.rank)))
+
+
+_known: list[tuple[tuple, Known]] = []
+
+
+def known_words(sent: Broadcast) -> Known:
+    """One `Known` for each broadcast and worker, kept from task to task; only the last one is kept."""
+    value = sent.value
+    if not _known or _known[0][0] is not value:
+        _known[:] = [(value, Known(*value))]
+    return _known[0][1]
+
+
 class Codec:
     """Expressions for one vocabulary, as SQL text over a constant column __ranks or __pieces.  Identifiers are ranks, as in
     the library."""
@@ -124,28 +183,28 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _cache(codec: Codec, texts: DataFrame) -> Broadcast:
-    """Identifiers of the vocabulary's own words and of other common words, for the workers: CACHE_WORDS beside the
-    vocabulary at most."""
+    """(pieces of the vocabulary, common words, their identifiers) for the workers: CACHE_WORDS words at most, as two
+    strings, so that the driver holds no table of them."""
     n = texts.count()
-    pattern, own = codec.pattern, {}
-    for i, piece in enumerate(codec.pieces):
-        try:
-            own[piece.decode()] = str(i)
-        except UnicodeDecodeError:  # part of a character: no word
-            continue
+    pattern = codec.pattern
     sample = texts.where(F.pmod(F.xxhash64(F.lit("cache"), "text"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, CACHE_DOCUMENTS / max(1, n)))))
+    own = {p for p in codec.pieces if p}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
+        c: Counter[str] = Counter()
         for b in batches:
-            c = Counter(w for t in b.column(0).to_pylist() for w in find(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
+            for t in b.column(0).to_pylist():
+                c.update(find(t))
+        rows = [(w, k) for w, k in c.items() if len(e := w.encode("utf-8", "surrogatepass")) <= LONG_WORD and e not in own and "\0" not in w]
+        for lo in range(0, len(rows), 100_000):
+            w, k = zip(*rows[lo : lo + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(k, pa.int64())], ["w", "n"])
 
-    top = sample.select("text").mapInArrow(count, "w string, n long").where("instr(w, char(0)) = 0").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(CACHE_WORDS)
-    coded = codec.encode_words(cut(top).repartition(12)).agg(F.collect_list(F.struct("w", "ids")).alias("x"))  # as two strings
-    text = coded.select(F.expr("array_join(x.w, char(0))").alias("w"), F.expr("array_join(x.ids, ' ')").alias("ids")).first()
-    known = dict(zip(text["w"].split("\0"), text["ids"].split(" "))) if text["ids"] else {}
-    return texts.sparkSession.sparkContext.broadcast(known | own)
+    top = sample.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(CACHE_WORDS)
+    coded = cut(codec.encode_words(cut(top.select("w")).repartition(48, "w")).agg(F.collect_list(F.struct("w", "ids")).alias("x")).select(F.expr("array_join(x.w, char(0))").alias("w"), F.expr("array_join(x.ids, ' ')").alias("ids")))  # two strings
+    text = coded.first()
+    return texts.sparkSession.sparkContext.broadcast((codec.pieces, text["w"], text["ids"]))
 
 
 def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "ids") -> DataFrame:
@@ -162,7 +221,8 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
     rows = docs.withColumn("__text", text)
     carried = docs.columns
 
-    def taken(texts: list[str], find: Callable, known: Callable) -> pa.Array:
+    def taken(texts: list[str], find: Callable, words_known: Known) -> pa.Array:
+        known, long = words_known.of.get, words_known.long
         pieces, holes, words, ends, word_ends = [], [], [], [0], [0]
         for t in texts:
             found = find(t)
@@ -172,6 +232,9 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
             if None in ids:
                 for i, x in enumerate(ids):
                     if x is None:
+                        if (x := long(found[i])) is not None:
+                            ids[i] = x
+                            continue
                         pieces.append(",".join(ids[at:i]))
                         holes.append(new.setdefault(found[i], len(new)))
                         at = i + 1
@@ -184,7 +247,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
         return pa.StructArray.from_arrays(lists, names=["pieces", "holes", "words"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = regex.compile(pattern).findall, sent.value.get
+        find, known = regex.compile(pattern).findall, known_words(sent)
         for whole in batches:
             for lo in range(0, len(whole), BATCH):
                 b = whole.slice(lo, BATCH)
