@@ -68,13 +68,18 @@ def _first(*cases: tuple[Column, str]) -> Column:
     return out
 
 
-def ui_type(name: Column) -> Column:
+def ui_type(name: Column, file_path: Column | None = None) -> Column:
+    """Named like a part of a user interface, or (with a path) from a designer's file."""
     last = F.substring_index(name, ".", -1)
-    return F.coalesce(_ends(last, *UI_SUFFIXES) | last.startswith("Form"), F.lit(False))
+    by_name = F.coalesce(_ends(last, *UI_SUFFIXES) | last.startswith("Form"), F.lit(False))
+    if file_path is None:
+        return by_name
+    return by_name | F.coalesce(F.substring_index(F.replace(file_path, F.lit("\\"), F.lit("/")), "/", -1).contains(".Designer."), F.lit(False))
 
 
-def with_siblings(symbols: DataFrame, inheritance: DataFrame) -> DataFrame:
-    """`symbols` with what the rules ask of a symbol's type: its receive methods, its bases, its command members."""
+def with_siblings(symbols: DataFrame, inheritance: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """`asked` (all symbols by default) with what the rules ask of a symbol's type: its receive methods, its bases, its
+    command members."""
     low = F.lower("name")
     message = any_of(F.lower("fqn"), (".messages.", "message)", "message,"))
     of_type = symbols.where("containing_type is not null").groupBy("containing_type").agg(
@@ -84,7 +89,7 @@ def with_siblings(symbols: DataFrame, inheritance: DataFrame) -> DataFrame:
     bases = inheritance.groupBy(F.col("derived").alias("containing_type")).agg(F.max(F.lower("base").contains("irecipient")).alias("recipient"))
     commands = symbols.where(F.col("kind").isin("field", "property")).select("containing_type", low.alias("member")).distinct()
     commands = commands.select("containing_type", F.explode(F.array(F.when(F.col("member").endswith("_command"), F.expr("left(member, length(member) - 8)")), F.when(F.col("member").endswith("command"), F.expr("left(member, length(member) - 7)")))).alias("low")).where("low <> ''").distinct().withColumn("has_command", F.lit(True))
-    return symbols.withColumn("low", low).join(of_type, "containing_type", "left").join(bases, "containing_type", "left").join(commands, ["containing_type", "low"], "left")
+    return (symbols if asked is None else asked).withColumn("low", low).join(of_type, "containing_type", "left").join(bases, "containing_type", "left").join(commands, ["containing_type", "low"], "left")
 
 
 def rule_array() -> Column:
@@ -158,9 +163,11 @@ def cascade(symbols: DataFrame, projects: DataFrame, fan_in: DataFrame, calls: D
     def mark(df: DataFrame, other: DataFrame, key: str, name: str, by: str) -> DataFrame:
         return df.join(flag(other, key, name), F.col(by) == F.col("__k"), "left").drop("__k")
 
-    s = with_siblings(symbols, inheritance).join(fan_in.select("fqn", "fan_in"), "fqn").withColumn("rules", rule_array())
-    live = symbols.select("fqn", "containing_type").join(fan_in, "fqn").join(flag(calls, "callee", "called"), F.col("fqn") == F.col("__k"), "left").where("containing_type is not null and (fan_in > 0 or called)")
-    s = s.where("fan_in = 0").join(projects.select(F.col("id").alias("project_id"), "is_test_project"), "project_id", "left")
+    counted = fan_in.select("fqn", "fan_in")
+    bare = symbols.join(counted.where("fan_in = 0"), "fqn", "left_semi")
+    s = with_siblings(symbols, inheritance, bare).withColumn("rules", rule_array())
+    live = symbols.select("fqn", "containing_type").where("containing_type is not null").join(counted, "fqn").join(flag(calls, "callee", "called"), F.col("fqn") == F.col("__k"), "left").where("fan_in > 0 or called")
+    s = s.join(projects.select(F.col("id").alias("project_id"), "is_test_project"), "project_id", "left")
     s = mark(s, calls, "callee", "called", "fqn")
     s = mark(s, soft, "target", "soft", "fqn") if soft is not None else s.withColumn("soft", F.lit(None).cast("boolean"))
     s = mark(mark(s, uses, "target", "used", "fqn"), uses, "target", "type_used", "containing_type")
@@ -171,11 +178,129 @@ def cascade(symbols: DataFrame, projects: DataFrame, fan_in: DataFrame, calls: D
     reason = (
         F.when(suppressed(F.col("rules")), "suppressed_by_rule").when(test, "test_artifact").when(yes("called"), "called").when(yes("soft"), "soft_called").when(yes("used"), "used_as_type")
         .when((F.col("kind") == "constructor") & (ui_type(F.col("containing_type")) | yes("type_used")), "constructor_of_used_type")
-        .when(is_type & yes("has_live"), "live_members").when(is_type & yes("has_derived"), "has_derived").when(is_type & ui_type(F.col("name")), "ui_type")
+        .when(is_type & yes("has_live"), "live_members").when(is_type & yes("has_derived"), "has_derived").when(is_type & ui_type(F.col("name"), F.col("file_path")), "ui_type")
         .when(F.lower("fqn").contains("main("), "entry_point")
         .when((F.col("kind") == "method") & (_ends(F.col("fqn"), ".get", ".set") | F.col("name").isin("get", "set", "add", "remove")), "accessor")
     )
-    return s.select("fqn", "kind", "loc", "rules", reason.alias("drop_reason"))
+    return s.select("fqn", "kind", F.coalesce("loc", F.lit(0)).alias("loc"), "file_path", "containing_type", "rules", reason.alias("drop_reason"))
+
+
+def labels(rules: Column) -> Column:
+    """The rules that do not suppress, the weightiest first."""
+    return F.filter(rules, lambda r: r.isin(*[r for r, (p, _) in RULES.items() if p == "label"]))
+
+
+def soft_suppressed(decided: DataFrame, soft: DataFrame) -> DataFrame:
+    """(fqn, kind, sources, edge_types, edge_count) of the symbols that only a soft edge reaches: up to eight sources and
+    types, sorted."""
+    some = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, 8)
+    into = soft.groupBy(F.col("target").alias("fqn")).agg(some("source").alias("sources"), some("type").alias("edge_types"), F.count("*").alias("edge_count"))
+    return decided.where("drop_reason = 'soft_called'").join(into, "fqn").select("fqn", "kind", "sources", "edge_types", "edge_count")
+
+
+#: The counts that tell how far a symbol is connected (graph, direction).
+SIGNALS = {
+    "callers": ("call", "in"), "type_users": ("type_dependency", "in"), "field_users": ("field_access", "in"), "derived_types": ("inheritance", "in"),
+    "callees": ("call", "out"), "used_types": ("type_dependency", "out"), "used_fields": ("field_access", "out"),
+}
+
+
+def signals(candidates: DataFrame, graphs: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """`candidates` (fqn, containing_type, ...) with one column for each of SIGNALS and containing_type_users.
+
+    `graphs` has for each name a simple digraph and its end columns; all graphs' degrees are one grouped pass.
+    """
+    ends = []
+    for name, (edges, source, target) in graphs.items():
+        for node, direction in ((target, "in"), (source, "out")):
+            column = next((s for s, at in SIGNALS.items() if at == (name, direction)), None)
+            if column:
+                ends.append(edges.select(F.col(node).alias("node"), F.lit(column).alias("signal")))
+    counted = reduce(DataFrame.union, ends).groupBy("node", "signal").agg(F.count("*").alias("n"))
+    wide = counted.groupBy("node").agg(*[F.coalesce(F.sum(F.when(F.col("signal") == s, F.col("n"))), F.lit(0)).alias(s) for s in SIGNALS])
+    out = candidates.join(wide.withColumnRenamed("node", "fqn"), "fqn", "left").join(wide.select(F.col("node").alias("containing_type"), F.col("type_users").alias("containing_type_users")), "containing_type", "left")
+    return out.fillna(0, [*SIGNALS, "containing_type_users"])
+
+
+def rule_summary(candidates: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
+    """(bucket, attribute, value, n): how often the candidates' edges carry each rule field; `counts` has the
+    `graph.rule_counts` of the call and the type graph under "call" and "type"."""
+    each = [n.join(candidates.select(F.col("fqn").alias("node")), "node", "left_semi").withColumn("bucket", F.concat(F.lit(f"{name}_"), F.col("direction"), F.lit("bound"))) for name, n in counts.items()]
+    return reduce(DataFrame.union, each).groupBy("bucket", "attribute", "value").agg(F.sum("n").alias("n"))
+
+
+CATEGORIES = ("isolated", "structural-sibling", "near-family")
+
+
+def category(score: Column, reasons: Column) -> Column:
+    """What the likest symbol makes of a candidate (null score: none is near)."""
+    some = lambda *starts: F.exists(reasons, lambda r: reduce(lambda a, b: a | b, [r.startswith(s) for s in starts]))
+    near = F.arrays_overlap(reasons, F.array(F.lit("same containing type"), F.lit("same namespace")))
+    overlap = some("shared callers", "shared callees", "shared used types", "shared used fields")
+    return F.when(score.isNull(), "isolated").when((score >= 0.7) & near & some("name tokens "), "near-family").when((score >= 0.55) & (overlap | near), "structural-sibling").otherwise("isolated")
+
+
+def category_counts(categorised: DataFrame) -> DataFrame:
+    """(category, n) for every category, 0 where no candidate has it."""
+    every = categorised.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
+    return every.join(categorised.groupBy("category").agg(F.count("*").alias("n")), "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def prioritised(categorised: DataFrame) -> DataFrame:
+    """By category (isolated first), then the longest, then by name."""
+    return categorised.orderBy(F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")), F.desc("loc"), "fqn")
+
+
+def _rendered(counts: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+
+
+def count_maps(counts: DataFrame, key: str, prefix: str) -> DataFrame:
+    """One row a node with map columns <prefix>_<direction>_<attribute> from rows (node, direction, attribute, value, n)."""
+    cells = counts.groupBy("node").agg(*[
+        F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when((F.col("direction") == d) & (F.col("attribute") == a), F.struct("value", "n"))), lambda e: e.isNotNull()))).alias(f"{prefix}_{d}_{a}")
+        for d in ("in", "out") for a in ("type", "rule_family", "rule_id", "rule_mode")
+    ])
+    return cells.withColumnRenamed("node", key)
+
+
+def explained(candidates: DataFrame, nearest_reasons: str | None = None) -> DataFrame:
+    """`candidates` (of `signals`, with `count_maps` of the call and the type graph under call_* and type_*) with `why`
+    and the list `facts`: which references are missing, what is still connected, and which frameworks touch it."""
+    zero = lambda c: F.col(c) == 0
+    kind = F.col("kind")
+    member, is_type, made = kind.isin("field", "property"), kind.isin("class", "interface"), kind == "constructor"
+    missing = [
+        (zero("callers"), "no callers", "call graph has no inbound callers"),
+        (zero("type_users"), "no type users", "type dependency graph has no inbound type users"),
+        (zero("field_users") & member, "no field readers/writers", "field access graph shows no inbound readers or writers"),
+        (zero("derived_types") & is_type, "no derived types", "inheritance graph has no derived types"),
+        (zero("containing_type_users") & made, "owning type has no detected type users", "constructor's owning type has no inbound type users"),
+    ]
+    short = F.array_compact(F.array(*[F.when(c, s) for c, s, _ in missing]))
+    has = lambda c: F.size(F.coalesce(c, F.map_from_entries(F.array().cast("array<struct<k:string,v:bigint>>")))) > 0
+    listed = [(f"{g}_{d}_{a}", f"{w} {g} {t}") for g, d, w, a, t in (
+        ("call", "in", "inbound", "type", "edge types"), ("call", "out", "outbound", "type", "edge types"), ("call", "in", "inbound", "rule_family", "rule families"), ("call", "out", "outbound", "rule_family", "rule families"),
+        ("call", "out", "outbound", "rule_id", "rule ids"), ("call", "out", "outbound", "rule_mode", "rule modes"), ("type", "in", "inbound", "rule_family", "rule families"), ("type", "out", "outbound", "rule_family", "rule families"),
+        ("type", "out", "outbound", "rule_id", "rule ids"), ("type", "out", "outbound", "rule_mode", "rule modes"),
+    )]
+    touched = [(f"{g}_{d}_rule_family", t) for g, d, t in (("call", "in", "inbound calls"), ("call", "out", "outbound calls"), ("type", "in", "inbound type usage"), ("type", "out", "outbound type usage"))]
+    touches = F.array_compact(F.array(*[F.when(has(c), F.concat(F.lit(f"{t} touch "), F.array_join(F.array_sort(F.map_keys(c)), ", "))) for c, t in touched]))
+    out = candidates.withColumn("__short", short).withColumn("__touch", F.array_join(touches, "; "))
+    bare = F.size("__short") == 0
+    near = F.lit(None).cast("array<string>") if nearest_reasons is None else F.col(nearest_reasons)
+    two = F.array_join(F.slice(near, 1, 2), ", ")
+    facts = F.array_compact(F.array(
+        *[F.when(c, t) for c, _, t in missing],
+        F.when(F.col("callees") > 0, F.format_string("symbol still calls %d downstream method(s)", "callees")),
+        F.when(F.col("used_types") > 0, F.format_string("symbol still depends on %d downstream type(s)", "used_types")),
+        *[F.when(has(c), F.concat(F.lit(f"{t}: "), _rendered(c))) for c, t in listed],
+        F.when(F.col("__touch") != "", F.concat(F.lit("framework context: "), F.col("__touch"))),
+        F.when(bare, "all checked structural graphs lacked inbound references"),
+        F.when(near.isNotNull() & (two != ""), F.concat(F.lit("nearest related symbol suggests family resemblance: "), two)).when(near.isNotNull(), "related-symbol search found a nearby structural sibling"),
+    ))
+    why = F.concat_ws("; ", F.when(bare, "no inbound structural references").otherwise(F.array_join("__short", "; ")), F.when(near.isNotNull() & (two != ""), F.concat(F.lit("nearest sibling looks like "), two)).when(near.isNotNull(), "has nearby structural sibling"), F.when(F.col("__touch") != "", F.concat(F.lit("framework context: "), F.col("__touch"))))
+    return out.withColumn("why", why).withColumn("facts", facts).drop("__short", "__touch")
 
 
 def rule_counters(decided: DataFrame) -> DataFrame:

@@ -1,14 +1,35 @@
-"""Likeness of symbols by name tokens, graph neighbours, and attributes; vector search."""
+"""Likeness of symbols by name tokens, graph neighbours, and attributes."""
 
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.sources.shared import kept
+
+#: Weights of the parts of the score, and of the neighbour sets with the words for a shared one.
+SAME_KIND, TOKENS, NAME_SHAPE, SAME_TYPE, SAME_NAMESPACE, SAME_PROJECT, SAME_FILE, FILE_SHAPE, SAME_RETURN, SAME_PARAMETERS = 0.2, 0.35, 0.15, 0.2, 0.1, 0.08, 0.08, 0.05, 0.05, 0.05
+NAME_SHAPE_FROM, FILE_SHAPE_FROM = 0.55, 0.65
+FEATURES = {
+    "callers": ("call", "in", 0.18, "shared callers"),
+    "callees": ("call", "out", 0.18, "shared callees"),
+    "bases": ("inheritance", "out", 0.08, "shared base types"),
+    "derived": ("inheritance", "in", 0.08, "shared derived types"),
+    "type_users": ("type_dependency", "in", 0.16, "shared type users"),
+    "used_types": ("type_dependency", "out", 0.16, "shared used types"),
+    "field_users": ("field_access", "in", 0.08, "shared field users"),
+    "used_fields": ("field_access", "out", 0.08, "shared used fields"),
+}
+#: Kinds that are never offered as related.
+SYNTHETIC_KINDS = ("xaml", "lambda", "framework_method")
+#: Sources that `related` takes at once; each is compared with every symbol.
+MOST_SOURCES = 1000
+
 
 def name_tokens(c: Column) -> Column:
     """Lower-case tokens of an identifier: split at dots, other punctuation and before capitals, each once."""
@@ -21,72 +42,137 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)).cast("double")).otherwise(0.0)
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """(node, callers, callees): sorted neighbour sets of each node."""
-    i = edges.groupBy(F.col("callee").alias("node")).agg(F.collect_set("caller").alias("callers"))
-    o = edges.groupBy(F.col("caller").alias("node")).agg(F.collect_set("callee").alias("callees"))
-    e = F.array().cast("array<string>")
-    return i.join(o, "node", "full").select("node", F.coalesce("callers", e).alias("callers"), F.coalesce("callees", e).alias("callees"))
+def file_stem(c: Column) -> Column:
+    """A file name without its last extension."""
+    return F.regexp_replace(c, "[.][^.]*$", "")
 
 
-def token_pairs(symbols: DataFrame, least_shared: int = 2) -> DataFrame:
-    """(a, b, score): token likeness of symbols of one type that share `least_shared` name tokens or more.
+def base_name(c: Column) -> Column:
+    """What follows the last separator of a path, of either sort."""
+    return F.substring_index(F.replace(c, F.lit("\\"), F.lit("/")), "/", -1)
 
-    The type is the blocking key, so that the join pairs siblings only.
-    """
-    t = symbols.where("containing_type is not null").select("fqn", "containing_type", name_tokens(F.col("name")).alias("tokens"))
-    a, b = t.alias("a"), t.alias("b")
-    pairs = a.join(b, (F.col("a.containing_type") == F.col("b.containing_type")) & (F.col("a.fqn") < F.col("b.fqn")))
-    pairs = pairs.where(F.size(F.array_intersect("a.tokens", "b.tokens")) >= least_shared)
-    return pairs.select(F.col("a.fqn").alias("a"), F.col("b.fqn").alias("b"), F.round(jaccard(F.col("a.tokens"), F.col("b.tokens")), 4).alias("score"))
 
+def feature_sets(graphs: dict[str, tuple[DataFrame, str, str]], soft: DataFrame | None = None) -> DataFrame:
+    """One row a node with its neighbours in each of FEATURES, as a set; soft edges (source, target) count as calls."""
+    ends = []
+    for name, (edges, source, target) in graphs.items():
+        pairs = edges.select(F.col(source).alias("s"), F.col(target).alias("t"))
+        if name == "call" and soft is not None:
+            pairs = pairs.union(soft.select("source", "target"))
+        cells = [F.struct(F.col("t" if direction == "in" else "s").alias("node"), F.lit(f).alias("feature"), F.col("s" if direction == "in" else "t").alias("other")) for f, (graph, direction, _, _) in FEATURES.items() if graph == name]
+        ends.append(pairs.select(F.explode(F.array(*cells)).alias("e")).select("e.*"))
+    sets = [F.collect_set(F.when(F.col("feature") == f, F.col("other"))).alias(f) for f in FEATURES]
+    return reduce(DataFrame.union, ends).groupBy("node").agg(*sets)
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts (null: empty)."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+
+def graph_score(left: str, right: str) -> tuple[Column, list[Column]]:
+    """The weighted likeness of the neighbour sets of two rows (column prefixes), and the words for what they share."""
+    score, words = F.lit(0.0), []
+    for f, (_, _, weight, label) in FEATURES.items():
+        like = jaccard(F.coalesce(f"{left}{f}", F.array().cast("array<string>")), F.coalesce(f"{right}{f}", F.array().cast("array<string>")))
+        score = score + like * weight
+        words.append(F.when(like > 0, F.format_string(f"{label} %.2f", like)))
+    return score, words
 
 
-def related(symbols: DataFrame, edges: DataFrame, source: str, top_k: int = 10) -> DataFrame:
-    """The `top_k` symbols most like one symbol of the same kind, with their scores; ties by name.
+def graph_similarity(features: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, fqn, score): nodes that share a neighbour with a source, by the eight weighted neighbour likenesses.
 
-    The one source row is broadcast; every other symbol is scored once.
+    Only nodes that share one are met, through the neighbours themselves: no source is compared with all nodes.
     """
-    n = neighbours(edges)
-    s = symbols.join(n.withColumnRenamed("node", "fqn"), "fqn", "left").withColumn("tokens", name_tokens(F.col("fqn")))
-    one = F.broadcast(s.where(F.col("fqn") == source).limit(1).select([F.col(c).alias(f"s_{c}") for c in s.columns]))
-    both = s.join(one, (F.col("kind") == F.col("s_kind")) & (F.col("fqn") != F.col("s_fqn")))
-    same = lambda c: (F.col(c) == F.col(f"s_{c}")) & F.col(c).isNotNull()
-    part = lambda cond, w: F.when(cond, w).otherwise(0.0)
-    ratio = sequence_ratio("s_name", "name")
-    e = F.array().cast("array<string>")
-    graph = lambda c: jaccard(F.coalesce(F.col(c), e), F.coalesce(F.col(f"s_{c}"), e))
-    score = F.lit(0.2) + 0.35 * jaccard(F.col("tokens"), F.col("s_tokens")) + part(ratio > 0.55, 0.15 * ratio) + part(same("containing_type"), 0.2) + part(same("namespace"), 0.1) + part(same("project_id"), 0.08) + part(same("file_path"), 0.08) + part(same("return_type"), 0.05) + part(same("parameter_count"), 0.05) + 0.18 * graph("callers") + 0.18 * graph("callees")
-    return both.select(F.col("s_fqn").alias("source"), "fqn", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "fqn").limit(top_k)
+    flat = lambda df: reduce(DataFrame.union, [df.select("node", F.lit(f).alias("feature"), F.size(f).alias("n"), F.explode(f).alias("other")) for f in FEATURES])
+    a = flat(features.join(sources.select(F.col("fqn").alias("node")), "node", "left_semi")).alias("a")
+    b = flat(features).alias("b")
+    met = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col("a.other") == F.col("b.other")) & (F.col("a.node") != F.col("b.node")))
+    shared = met.groupBy(F.col("a.node").alias("source"), F.col("b.node").alias("fqn"), F.col("a.feature").alias("feature")).agg(F.count("*").alias("both"), (F.first("a.n") + F.first("b.n")).alias("sum"))
+    weight = reduce(lambda w, f: w.when(F.col("feature") == f, FEATURES[f][2]), list(FEATURES)[1:], F.when(F.col("feature") == "callers", FEATURES["callers"][2]))
+    return shared.groupBy("source", "fqn").agg(F.round(F.sum(F.col("both") / (F.col("sum") - F.col("both")) * weight), 4).alias("score"))
 
 
-def unit(c: str) -> Column:
-    """A vector scaled to length 1 (a zero vector stays)."""
-    return F.expr(f"transform({c}, x -> x / coalesce(nullif(sqrt(aggregate({c}, 0D, (a, y) -> a + y * y)), 0D), 1D))")
+def token_pairs(symbols: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(kind, a, b, n_a, n_b, score): pairs of different name-token sets of one kind whose likeness is `threshold` or more.
 
+    Symbols with the same tokens are one class (a, b: the sorted tokens; n: its symbols), so that equal names are no
+    pairs.  Tokens are ordered from rare to common; two sets that are alike enough share one of the first
+    n - ceil(threshold n) + 1 of each, so that joining on those loses no pair and common tokens seldom are keys.
+    """
+    named = symbols.select("kind", F.array_sort(name_tokens(F.col("name"))).alias("tokens")).where(F.size("tokens") > 0)
+    classes = kept(named.groupBy("kind", "tokens").agg(F.count("*").alias("n")).withColumn("id", F.array_join("tokens", " ")))
+    each = classes.select("kind", "id", F.explode("tokens").alias("t"))
+    order = each.groupBy("kind", "t").agg(F.count("*").alias("df"))
+    ranked = each.join(order, ["kind", "t"]).groupBy("kind", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda e: e["t"]).alias("ordered"))
+    first = F.slice("ordered", F.lit(1), F.size("ordered") - F.ceil(F.size("ordered") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
+    keys = ranked.select("kind", "id", F.explode(first).alias("t"))
+    met = keys.alias("x").join(keys.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")))
+    pairs = met.select("x.kind", F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    side = lambda c: classes.select("kind", F.col("id").alias(c), F.col("tokens").alias(f"t_{c}"), F.col("n").alias(f"n_{c}"))
+    both = pairs.join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"]).withColumn("like", jaccard(F.col("t_a"), F.col("t_b")))
+    return both.where(F.col("like") >= threshold).select("kind", "a", "b", "n_a", "n_b", F.round("like", 4).alias("score"))
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rank, score): the k vectors of the greatest inner product with each query.
 
-    The stated queries are broadcast (callers pass few); each task keeps the best k of its rows for each query before
-    anything is dealt out.
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio of two texts (null: empty)."""
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+
+
+def related(symbols: DataFrame, features: DataFrame, sources: DataFrame, top_k: int = 10, same_kind_only: bool = True, shapes: bool = True, least: float = 0.0) -> DataFrame:
+    """(source, fqn, kind, score, reasons, rank): the `top_k` symbols most like each source, by falling score, then name.
+
+    `sources` (fqn; at most MOST_SOURCES, else an error) are broadcast and compared with every symbol in one pass.  The
+    shapes of names and files, which no built-in function measures, add 0.2 at most: they are looked at only for symbols
+    that could still be among the best.  `shapes=False` leaves them out; `least` is the lowest score that is returned.
     """
-    v = vectors.select("vec_id", unit("embedding").alias("v"))
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), unit("embedding").alias("q")))
-    score = F.expr("aggregate(zip_with(v, q, (a, b) -> a * b), 0D, (a, x) -> a + x)")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(score, 4).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n = sources.select("fqn").distinct().limit(MOST_SOURCES + 1).count()
+    if n > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: take them in blocks")
+    s = symbols.join(features.withColumnRenamed("node", "fqn"), "fqn", "left").withColumn("tokens", name_tokens(F.col("fqn"))).withColumn("file_name", base_name(F.col("file_path")))
+    one = F.broadcast(s.join(sources.select("fqn").distinct(), "fqn", "left_semi").select([F.col(c).alias(f"s_{c}") for c in s.columns]))
+    on = F.col("fqn") != F.col("s_fqn")
+    both = s.where(~F.col("kind").isin(*SYNTHETIC_KINDS)).join(one, on & (F.col("kind") == F.col("s_kind")) if same_kind_only else on)
+    same = lambda c: F.coalesce((F.col(c) == F.col(f"s_{c}")) & (F.col(f"s_{c}").cast("string") != ""), F.lit(False))
+    like = jaccard(F.col("tokens"), F.col("s_tokens"))
+    shared, graph_words = graph_score("", "s_")
+    part = lambda cond, w: F.when(cond, w).otherwise(0.0)
+    sure = part(same("kind"), SAME_KIND) + like * TOKENS + part(same("containing_type"), SAME_TYPE) + part(same("namespace"), SAME_NAMESPACE) + part(same("project_id"), SAME_PROJECT) + part(same("file_name"), SAME_FILE) + part(same("return_type"), SAME_RETURN) + part(same("parameter_count"), SAME_PARAMETERS) + shared
+    word = lambda c, text: F.when(same(c), text)
+    before = F.array(word("kind", "same kind"), F.when(like > 0, F.format_string("name tokens %.2f", like)))
+    middle = F.array(word("containing_type", "same containing type"), word("namespace", "same namespace"), word("project_id", "same project"))
+    after = F.array(word("return_type", "same return type"), word("parameter_count", "same parameter count"), *graph_words)
+    scored = both.select(F.col("s_fqn").alias("source"), "fqn", "kind", "name", "s_name", "file_name", "s_file_name", sure.alias("sure"), same("file_name").alias("same_file"), before.alias("before"), middle.alias("middle"), after.alias("after"))
+    best = Window.partitionBy("source").orderBy(F.desc("sure"), "fqn")
+    if shapes:
+        scored = kept(scored)
+        floor = scored.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= top_k).groupBy("source").agg(F.min("sure").alias("floor"))
+        scored = scored.join(F.broadcast(floor), "source").where(F.col("sure") + (NAME_SHAPE + FILE_SHAPE) >= F.col("floor"))  # one row a source
+        name_shape = sequence_ratio("s_name", "name")
+        files = (F.coalesce("s_file_name", F.lit("")) != "") & (F.coalesce("file_name", F.lit("")) != "") & ~F.col("same_file")
+        scored = scored.withColumn("name_shape", name_shape).withColumn("file_shape", F.when(files, sequence_ratio(F.lower(file_stem(F.col("s_file_name"))), F.lower(file_stem(F.col("file_name"))))))
+    else:
+        scored = scored.withColumn("name_shape", F.lit(0.0)).withColumn("file_shape", F.lit(None).cast("double"))
+    by_name, by_file = F.col("name_shape") > NAME_SHAPE_FROM, F.coalesce(F.col("file_shape") >= FILE_SHAPE_FROM, F.lit(False))
+    score = F.col("sure") + part(by_name, F.col("name_shape") * NAME_SHAPE) + part(by_file, F.col("file_shape") * FILE_SHAPE)
+    shape = F.array(F.when(by_name, F.format_string("name shape %.2f", "name_shape")))
+    file_word = F.array(F.when(F.col("same_file"), "same file").when(by_file, F.format_string("file family %.2f", "file_shape")))
+    reasons = F.array_compact(F.concat("before", shape, "middle", file_word, "after"))
+    out = scored.select("source", "fqn", "kind", F.round(score, 4).alias("score"), reasons.alias("reasons")).where("score > 0")
+    final = Window.partitionBy("source").orderBy(F.desc("score"), "fqn")
+    return out.withColumn("rank", F.row_number().over(final)).where((F.col("rank") <= top_k) & (F.col("score") >= least))
 
 
 def resolve(symbols: DataFrame, text: str) -> DataFrame:
-    """The symbol that a text names: its exact name, else the only one of that short name, else the only one that holds it."""
+    """(fqn, tier) of the symbol that a text names: the exact name (0), else the only one of that short name (1), else the
+    only one whose name holds it (2); no row if none is.  Case counts only in the exact name."""
     low = F.lower(F.lit(text))
-    tiers = symbols.select("fqn", F.when(F.col("fqn") == text, 0).when(F.lower("name") == low, 1).when(F.lower("fqn").contains(low), 2).alias("tier")).where("tier is not null")
+    tests = F.array(F.when(F.col("fqn") == text, 0), F.when(F.lower("name") == low, 1), F.when(F.lower("fqn").contains(low), 2))
+    tiers = symbols.select("fqn", F.explode(F.array_compact(tests)).alias("tier"))
     counts = tiers.groupBy("tier").agg(F.count("*").alias("n"), F.min("fqn").alias("fqn"))
     return counts.where("n = 1 or tier = 0").orderBy("tier").limit(1).select("fqn", "tier")
+
+
+def suggest(symbols: DataFrame, text: str, limit: int = 10) -> DataFrame:
+    """(fqn, ratio, rank): the names most like a text, 0.2 more for those that hold it."""
+    low = text.lower()
+    ratio = sequence_ratio(F.lit(low), F.lower("fqn")) + F.when(F.lower("fqn").contains(low), 0.2).otherwise(0.0)
+    order = [F.desc("ratio"), F.desc("fqn")]
+    return symbols.select("fqn", ratio.alias("ratio")).orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
