@@ -54,7 +54,7 @@ def hotspots(symbols: DataFrame, projects: DataFrame, edges: DataFrame, coupling
     """
     degree, weight = graph.degrees(edges), graph.weighted_degrees(edges)
     named = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"))
-    m = is_test(symbols, projects).join(class_roll_up(symbols, degree), "fqn")
+    m = is_test(symbols.drop("fan_in"), projects).join(class_roll_up(symbols, degree), "fqn")
     m = m.join(degree.select(F.col("node").alias("fqn"), F.col("out_degree").alias("fan_out")), "fqn", "left")
     m = m.join(weight.select(F.col("node").alias("fqn"), F.round("weighted_in", 3).alias("effective_fan_in"), F.round("weighted_out", 3).alias("effective_fan_out")), "fqn", "left")
     m = m.join(named, "project_id", "left").join(coupling.select(F.col("name").alias("project"), F.col("static_coupling").alias("coupling")), "project", "left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.operators import soft_edges
+from loomgraph.sources.shared import kept
 
 #: The graphs of a scan by file.
 GRAPH_FILES = {"call": "call_graph.json", "inheritance": "inheritance_graph.json", "dependency": "dependency_graph.json", "field_access": "field_access_graph.json", "type_dependency": "type_dependency_graph.json"}
@@ -74,7 +75,8 @@ def read_graph(spark: SparkSession, path: str | Path | None) -> Graph:
     """
     if path is None or not Path(path).exists():
         return _no_graph(spark)
-    whole = spark.read.schema(T.StructType([*GRAPH.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(str(path)).cache()
+    whole = spark.read.schema(T.StructType([*GRAPH.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(str(path))
+    whole = kept(whole)
     if not whole.where("_bad is null").head(1):
         return _no_graph(spark)
     listed = whole.select(F.posexplode(F.coalesce("edges", "links")).alias("ordinal", "e")).select("ordinal", "e.*").where("source is not null and target is not null")

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from loomgraph.operators import isolation
 from loomgraph.plans import registry
 
 AT = "/root/testdata/sf0.001"
@@ -30,9 +31,19 @@ def test_same_as_sql(spark, duck, name):
     assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), want.columns)
 
 
+LARGER = "/root/testdata/sf0.01"
+
+
 def test_no_branch_is_empty(spark):
-    reasons = {r[0] for r in registry.QUERIES["isolation_drop_reason"](spark, AT).select("drop_reason").distinct().collect()}
-    assert {None, "suppressed_by_rule", "test_artifact", "called", "used_as_type"} <= reasons
+    reasons = {r[0] for r in registry.QUERIES["isolation_drop_reason"](spark, LARGER).select("drop_reason").distinct().collect()}
+    assert reasons == {None, "suppressed_by_rule", "test_artifact", "called", "used_as_type", "constructor_of_used_type", "live_members", "has_derived", "ui_type", "entry_point", "accessor"}
+    assert "soft_called" in {r[0] for r in registry.QUERIES["isolation_soft"](spark, LARGER).select("drop_reason").distinct().collect()}
+
+
+def test_every_rule_has_rows(spark):
+    found = {r[0] for r in registry.QUERIES["convention_rules"](spark, LARGER).select("rule").distinct().collect()}
+    assert set(isolation.RULES) - found <= set()
+    assert {r["spread"] for r in registry.QUERIES["shared_state_spread"](spark, LARGER).collect()} == {"none", "internal", "mixed", "external"}
 
 
 def test_entry(spark):
