@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import base_name, rendered
 from loomgraph.operators.hotspots import any_of
 
 #: Policy and priority of each convention rule (the family is what stands before the first dot).
@@ -74,7 +75,7 @@ def ui_type(name: Column, file_path: Column | None = None) -> Column:
     by_name = F.coalesce(_ends(last, *UI_SUFFIXES) | last.startswith("Form"), F.lit(False))
     if file_path is None:
         return by_name
-    return by_name | F.coalesce(F.substring_index(F.replace(file_path, F.lit("\\"), F.lit("/")), "/", -1).contains(".Designer."), F.lit(False))
+    return by_name | F.coalesce(base_name(file_path).contains(".Designer."), F.lit(False))
 
 
 def with_siblings(symbols: DataFrame, inheritance: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -251,10 +252,6 @@ def prioritised(categorised: DataFrame) -> DataFrame:
     return categorised.orderBy(F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")), F.desc("loc"), "fqn")
 
 
-def _rendered(counts: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
-
-
 def count_maps(counts: DataFrame, key: str, prefix: str) -> DataFrame:
     """One row a node with map columns <prefix>_<direction>_<attribute> from rows (node, direction, attribute, value, n)."""
     cells = counts.groupBy("node").agg(*[
@@ -294,7 +291,7 @@ def explained(candidates: DataFrame, nearest_reasons: str | None = None) -> Data
         *[F.when(c, t) for c, _, t in missing],
         F.when(F.col("callees") > 0, F.format_string("symbol still calls %d downstream method(s)", "callees")),
         F.when(F.col("used_types") > 0, F.format_string("symbol still depends on %d downstream type(s)", "used_types")),
-        *[F.when(has(c), F.concat(F.lit(f"{t}: "), _rendered(c))) for c, t in listed],
+        *[F.when(has(c), F.concat(F.lit(f"{t}: "), rendered(c))) for c, t in listed],
         F.when(F.col("__touch") != "", F.concat(F.lit("framework context: "), F.col("__touch"))),
         F.when(bare, "all checked structural graphs lacked inbound references"),
         F.when(near.isNotNull() & (two != ""), F.concat(F.lit("nearest related symbol suggests family resemblance: "), two)).when(near.isNotNull(), "related-symbol search found a nearby structural sibling"),

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import short_name
+
 
 def holds(c: str, text: str | None) -> Column:
     """Case-blind match anywhere; % and _ in the text are wildcards, a back-slash is only a character."""
@@ -30,12 +32,11 @@ def list_symbols(symbols: DataFrame, projects: DataFrame, fan_in: DataFrame, que
 def summaries(symbols: DataFrame, edges: DataFrame, inheritance: DataFrame) -> DataFrame:
     """(fqn, summary): a line each for kind, name and flags, measures, fan-in and fan-out, up to three callers and callees,
     all bases and up to three derived types, by name; lines that would be empty are left out."""
-    short = lambda c: F.substring_index(c, ".", -1)
 
     def side(pairs: DataFrame, key: str, other: str, name: str, most: int | None) -> DataFrame:
         listed = F.array_sort(F.collect_set(other))
         some = listed if most is None else F.slice(listed, 1, most)
-        return pairs.groupBy(F.col(key).alias("fqn")).agg(F.count("*").alias(f"n_{name}"), F.array_join(F.transform(some, short), ", ").alias(name))
+        return pairs.groupBy(F.col(key).alias("fqn")).agg(F.count("*").alias(f"n_{name}"), F.array_join(F.transform(some, short_name), ", ").alias(name))
 
     s = symbols
     for part in (side(edges, "callee", "caller", "called_by", 3), side(edges, "caller", "callee", "calls", 3), side(inheritance, "derived", "base", "inherits", None), side(inheritance, "base", "derived", "inherited_by", 3)):
@@ -126,11 +127,6 @@ def focal_snippets(texts: DataFrame, context: int = CONTEXT, near: int = NEAR) -
     return _cut(rows.drop("line_start", "text"), nearest["at"], context).drop("__name", "__base")
 
 
-def line_count(text: Column) -> Column:
-    """Lines of a text; the empty text has one."""
-    return F.size(F.split(text, "\n"))
-
-
 #: What the text of a method tells of threads where nothing better is known (contains, or ends with).
 THREAD_TEXT = {
     "has_task_spawn": ("Task.Run", "TaskFactory.StartNew"),

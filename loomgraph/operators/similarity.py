@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.functions.text import base_name, file_stem, jaccard, name_tokens
 from loomgraph.sources.shared import kept
 
 #: Weights of the parts of the score, and of the neighbour sets with the words for a shared one.
@@ -31,27 +32,6 @@ SYNTHETIC_KINDS = ("xaml", "lambda", "framework_method")
 MOST_SOURCES = 1000
 
 
-def name_tokens(c: Column) -> Column:
-    """Lower-case tokens of an identifier: split at dots, other punctuation and before capitals, each once."""
-    spaced = F.regexp_replace(F.replace(c, F.lit("::"), F.lit(".")), "(?<=[^.])(?=[A-Z])", "_")
-    return F.array_distinct(F.filter(F.split(F.lower(spaced), r"[_\W]+"), lambda t: t != ""))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)).cast("double")).otherwise(0.0)
-
-
-def file_stem(c: Column) -> Column:
-    """A file name without its last extension."""
-    return F.regexp_replace(c, "[.][^.]*$", "")
-
-
-def base_name(c: Column) -> Column:
-    """What follows the last separator of a path, of either sort."""
-    return F.substring_index(F.replace(c, F.lit("\\"), F.lit("/")), "/", -1)
-
-
 def feature_sets(graphs: dict[str, tuple[DataFrame, str, str]], soft: DataFrame | None = None) -> DataFrame:
     """One row a node with its neighbours in each of FEATURES, as a set; soft edges (source, target) count as calls."""
     ends = []

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text
 from loomgraph.operators import candidates, dsl, graph, hotspots, isolation, navigate, retrieval, similarity, soft_edges
 from loomgraph.sources import files, markup
 from loomgraph.sources.binding import frame, with_bindings
@@ -889,7 +890,7 @@ def focal_snippets(t: Tables) -> DataFrame:
 
 @query("select doc_id, len(string_split(text, chr(10))) as loc from files_text where text is not null")
 def line_counts(t: Tables) -> DataFrame:
-    return t.files_text.where("text is not null").select("doc_id", navigate.line_count(F.col("text")).cast("long").alias("loc"))
+    return t.files_text.where("text is not null").select("doc_id", text.line_count(F.col("text")).cast("long").alias("loc"))
 
 
 @query("select doc_id, contains(body, 'Task.Run') as has_task_spawn, contains(body, '.Result') or contains(body, '.Join(') as has_blocking_wait, contains(body, 'new Thread(') as has_thread_start from (select doc_id, replace(replace(replace(text, ' the ', ' Task.Run '), ' of ', ' x.Result '), ' de ', ' new Thread( ') as body from files_text where text is not null)")
@@ -897,3 +898,13 @@ def thread_flags(t: Tables) -> DataFrame:
     """Texts that stand for method bodies."""
     put = F.replace(F.replace(F.replace("text", F.lit(" the "), F.lit(" Task.Run ")), F.lit(" of "), F.lit(" x.Result ")), F.lit(" de "), F.lit(" new Thread( "))
     return navigate.thread_flags(t.files_text.where("text is not null").select("doc_id", put.alias("body"))).select("doc_id", "has_task_spawn", "has_blocking_wait", "has_thread_start")
+
+
+_STATEMENTS = ("case when {k} % 6 = 0 then 'x.' || {n} || ' = 1' when {k} % 6 = 1 then {n} || ' += 2' when {k} % 6 = 2 then 'f(out ' || {n} || ')' when {k} % 6 = 3 then '++this.' || {n} when {k} % 6 = 4 then 'f(ref ' || {n} || ')' else {n} || ' == ' || {n} || 'x' end")
+
+
+@query("select fqn, case k % 6 when 0 then 'write' when 2 then 'write' when 5 then 'read' else 'read_write' end as access_kind from fields")
+def access_kinds(t: Tables) -> DataFrame:
+    """Statements that use a field."""
+    rows = t.fields.withColumn("statement", F.expr(_STATEMENTS.format(k="k", n="name")))
+    return rows.select("fqn", text.access_kind(F.col("statement"), F.col("name")).alias("access_kind"))

@@ -6,6 +6,7 @@ Files are read through Spark where they may be many or large; settings and paths
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -163,6 +164,20 @@ def changed_projects(projects: DataFrame, files: DataFrame, runs: DataFrame) ->
     return both.where("last_run is null or gone or newest > last_run").select("id")
 
 
+def project_closure(path: str | Path) -> list[Path]:
+    """A project file and those that it imports, by way of any number of others; each once, missing ones left out."""
+    found: list[Path] = []
+    queue = [Path(path).resolve()]
+    while queue:
+        at = queue.pop(0)
+        if at in found or not at.is_file():
+            continue
+        found.append(at)
+        for name in re.findall(r'(?i)<(?:[\w.-]+:)?Import\s[^>]*?\bProject\s*=\s*"([^"]+)"', at.read_text(encoding="utf-8-sig", errors="replace")):
+            queue.append((at.parent / name.replace("\\", "/")).resolve())
+    return found
+
+
 def _element(c: str, name: str) -> Column:
     """The trimmed text of the first element of that local name, whatever its case and prefix; null if there is none."""
     found = F.regexp_extract(c, rf"(?is)<(?:[\w.-]+:)?{name}(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?{name}\s*>", 1)

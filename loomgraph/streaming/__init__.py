@@ -1 +1 @@
-
+"""Records that keep arriving."""

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph import cli
+from loomgraph.functions import text
 from loomgraph.operators import candidates
 from loomgraph.sinks.store import Store, export_graphs, fold, write_graph
 from loomgraph.sources import files, markup
+from loomgraph.streaming.ingest import follow
 
 
 def test_graph_files(spark, tmp_path):
@@ -229,3 +231,26 @@ def test_code_candidate_scores(spark):
     edges = spark.createDataFrame([("A.PluginLoader.Load(Type)", "x", "reflection_constructor_dispatch")], none.schema)
     assert candidates.code_candidates(texts, projects, s, fan, edges, "reflection").first().score == 3
     assert candidates.focal_symbols(s, fan, "reflection").first().score == 4 + 3 + 2
+
+
+def test_records_that_keep_arriving(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "tables"))
+    store.init()
+    one = lambda i, loc: spark.createDataFrame([("A.x", "x", loc, i)], "fqn string, name string, loc long, ordinal long")
+    for i, loc in ((1, 5), (2, 7)):
+        one(i, loc).write.mode("append").parquet(str(tmp_path / "in"))
+        follow(spark, str(tmp_path / "in"), one(0, 0).schema, store, str(tmp_path / "seen"), once=True).awaitTermination()
+    assert [(r.fqn, r.loc) for r in store.table("symbols").collect()] == [("A.x", 12)]
+
+
+def test_imported_projects(tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.csproj").write_text('<Project><Import Label="x" Project="sub\\b.projitems"/><Import Project="none.props"/></Project>')
+    (tmp_path / "sub" / "b.projitems").write_text('<Project><Import Project="../a.csproj"/></Project>')
+    assert [p.name for p in files.project_closure(tmp_path / "a.csproj")] == ["a.csproj", "b.projitems"]
+
+
+@pytest.mark.parametrize("code,kind", [("x = 1", "write"), ("a.x ??= 1", "read_write"), ("x == 1", "read"), ("x => 1", "read"), ("--x", "read_write"), ("F(out x)", "write"), ("F(ref x)", "read_write"), ("xx = 1", "read"), (None, "read")])
+def test_access_kinds(spark, code, kind):
+    df = spark.createDataFrame([(code, "x")], "c string, n string")
+    assert df.select(text.access_kind(F.col("c"), F.col("n"))).first()[0] == kind
