@@ -1,12 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of tokens: runs of letters, digits and bytes from 0x80 on, in lower case (A-Z and Latin-1 capitals).  Numbers,
-names and units become typed placeholders, whose values are kept as slots.  Windows of `window` tokens of the
-benchmark items (a shorter item is one window) are hash-joined with those of the documents, so that a question with
-other numbers or names still meets its item; a hit counts only if the slots agree with each other: places that hold
-one value in the item hold one value in the document.  Whether a window's first token is a name or a unit hangs on what
-stands before it, so that windows are looked up in both forms.  Windows with less than half literal tokens and items of
-fewer than 5 tokens say too little as templates; they are looked for by their exact tokens.
+names (of one or more words) and units become typed placeholders, whose values are kept as slots.  Windows of `window`
+tokens of the benchmark items (a shorter item is one window) are hash-joined with those of the documents, so that a
+question with other numbers or names still meets its item; a hit counts only if the slots agree with each other: places
+that hold one value in the item hold one value in the document.  Whether a window's first token is a name or a unit
+hangs on what stands before it, so that windows are looked up in both forms.
+
+Names are told by their capitals, so that a text in lower case has none.  All windows are therefore looked for by their
+exact tokens in lower case as well.  Windows with less than half literal tokens and items of fewer than 5 tokens say too
+little as templates and are looked for by their exact tokens alone.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,36 +54,48 @@ def _hash_words(words: list[str]) -> np.ndarray:
 UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, value, row) of each token: for a placeholder the hash is its type and the value what it replaces (a number
-    with its decimals)."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, value, row) of each token of the template, and (value, row) of each exact token.
+
+    A placeholder's hash is its type and its value what it replaces: a number with its decimals, a name with all its
+    words.  Exact tokens are words and whole numbers.
+    """
     start, end, row = bt.words(data, offsets, _BREAK)
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), row
+        none = np.zeros(0, np.uint64)
+        return none, none, row, none, row
     low = bt.lower(data)
-    value = bt.spans_hash(bt.prefix(low), start, end)
+    sums = bt.prefix(low)
+    value = bt.spans_hash(sums, start, end)
     number = _DIGIT[data[start]]
-    joined = np.zeros(len(start), bool)  # the decimals of a number belong to it
-    joined[1:] = number[1:] & number[:-1] & (start[1:] == end[:-1] + 1) & (row[1:] == row[:-1])
-    joined[1:] &= np.isin(data[start[1:] - 1], np.frombuffer(b".,", np.uint8))
+    same_row = np.zeros(len(start), bool)
+    same_row[1:] = row[1:] == row[:-1]
+    decimals = same_row.copy()  # they belong to their number
+    decimals[1:] &= number[1:] & number[:-1] & (start[1:] == end[:-1] + 1)
+    decimals[1:] &= np.isin(data[start[1:] - 1], np.frombuffer(b".,", np.uint8))
     at = np.searchsorted(UNIT_HASHES, value)
-    unit = UNIT_HASHES[np.minimum(at, len(UNIT_HASHES) - 1)] == value
-    unit[0] = False
-    unit[1:] &= number[:-1] & (row[1:] == row[:-1])
+    unit = (UNIT_HASHES[np.minimum(at, len(UNIT_HASHES) - 1)] == value) & same_row
+    unit[1:] &= number[:-1]
     # a name: a capital that does not begin a sentence, after a lower-case word and one space
-    name = _UPPER[data[start]] & ~number
-    inside = np.zeros(len(start), bool)
-    inside[1:] = (row[1:] == row[:-1]) & (start[1:] == end[:-1] + 1) & (data[np.maximum(start[1:] - 1, 0)] == 32)
-    lone = end - start == 1
-    name &= inside & ~lone
+    name = _UPPER[data[start]] & ~number & same_row & (end - start > 1)
+    name[1:] &= (start[1:] == end[:-1] + 1) & (data[np.maximum(start[1:] - 1, 0)] == 32)
     name[1:] &= ~_UPPER[data[end[:-1] - 1]]  # not within a text in capitals
-    h = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    keep = ~joined
-    first = np.flatnonzero(keep)
-    last = np.append(first[1:], len(keep)) - 1
-    long = last > first
-    value[first[long]] = bt.spans_hash(bt.prefix(low), start[first[long]], end[last[long]])
-    return h[keep], value[keep], row[keep]
+    more = name.copy()  # the further words of a name belong to it
+    more[1:] &= name[:-1]
+
+    def joined(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that begin something, and the values of all they begin."""
+        first = np.flatnonzero(~rest)
+        last = np.append(first[1:], len(rest)) - 1
+        out = value[first].copy()
+        long = last > first
+        out[long] = bt.spans_hash(sums, start[first[long]], end[last[long]])
+        return first, out
+
+    exact, exact_value = joined(decimals)
+    first, first_value = joined(decimals | more)
+    h = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))[first]
+    return h, first_value, row[first], exact_value, row[exact]
 
 
 def _alone(h: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -115,16 +131,17 @@ def _slots(h: np.ndarray, value: np.ndarray, at: int, size: int) -> list[int]:
     return value[x][h[x] <= UNIT].view(np.int64).tolist()
 
 
-_SCHEMA = "id long, whash long, pos int, size int, slots array<long>"
+_SCHEMA = "id long, whash long, pos int, size int, exact boolean, slots array<long>"
 
 
-def _item_windows(h: np.ndarray, value: np.ndarray, row: np.ndarray, n_rows: int, window: int) -> list[tuple]:
+def _item_windows(tokens: tuple, n_rows: int, window: int) -> list[tuple]:
     """(hash, first token, length, first token is alone, exact) of the windows of items."""
+    h, value, row, exact, exact_row = tokens
     key, at, size = _windows(h, row, n_rows, window)
     literal = np.concatenate([[0], np.cumsum(h > UNIT)])
     ok = (2 * (literal[at + size] - literal[at]) >= size) & (size >= LEAST)
-    exact = _windows(value, row, n_rows, window)[0] ^ EXACT
-    parts = [(key[ok], at[ok], size[ok], False, False), (exact[~ok], at[~ok], size[~ok], False, True)]
+    e_key, e_at, e_size = _windows(exact, exact_row, n_rows, window)
+    parts = [(key[ok], at[ok], size[ok], False, False), (e_key ^ EXACT, e_at, e_size, False, True)]
     alone = _alone(h, value)
     for n in set(size[ok].tolist()):
         k, a = _other(h, alone, at[ok & (size == n)], n)
@@ -132,36 +149,38 @@ def _item_windows(h: np.ndarray, value: np.ndarray, row: np.ndarray, n_rows: int
     return parts
 
 
-def _document_windows(h: np.ndarray, value: np.ndarray, row: np.ndarray, only: np.ndarray, lengths: list[int]) -> list[tuple]:
+def _document_windows(tokens: tuple, only: np.ndarray, lengths: list[int]) -> list[tuple]:
     """The same of those windows of documents whose hashes are in `only`."""
+    h, value, row, exact, exact_row = tokens
     parts = []
     alone = _alone(h, value)
     for n in lengths:
         k, a = bt.grams(h, row, n)
-        for key, at, first, exact in ((k, a, False, False), (*_other(h, alone, a, n), True, False), (bt.grams(value, row, n)[0] ^ EXACT, a, False, True)):
+        e_key, e_at = bt.grams(exact, exact_row, n)
+        for key, at, first, is_exact in ((k, a, False, False), (*_other(h, alone, a, n), True, False), (e_key ^ EXACT, e_at, False, True)):
             j = np.minimum(np.searchsorted(only, key), len(only) - 1)
             ok = only[j] == key
-            parts.append((key[ok], at[ok], np.full(int(ok.sum()), n), first, exact))
+            parts.append((key[ok], at[ok], np.full(int(ok.sum()), n), first, is_exact))
     return parts
 
 
-def _emit(df: DataFrame, window: int, only: np.ndarray | None, lengths: list[int]) -> DataFrame:
-    """Windows of (id, text) rows; `only`: sorted hashes to keep, of windows of `lengths` tokens (documents)."""
+def _emit(df: DataFrame, window: int, sent: Broadcast | None) -> DataFrame:
+    """Windows of (id, text) rows; `sent`: sorted hashes to keep, of windows of some lengths (documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in bt.pieces(bt.column(b, "text")):
-                h, value, row = canonical(data, offsets)
-                if only is None:
-                    parts = _item_windows(h, value, row, hi - lo, window)
-                else:
-                    parts = _document_windows(h, value, row, only, lengths)
+                tokens = canonical(data, offsets)
+                h, value, row, _, exact_row = tokens
+                parts = _item_windows(tokens, hi - lo, window) if sent is None else _document_windows(tokens, *sent.value)
                 for key, at, size, first, exact in parts:
                     if not len(key):
                         continue
+                    of = exact_row if exact else row
                     slots = [[] if exact else _slots(h, value, a + first, s - first) for a, s in zip(at, size)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][row[at]], pa.int64(), from_pandas=True), pa.array(key.view(np.int64)), pa.array((at - np.searchsorted(row, row[at])).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))], ["id", "whash", "pos", "size", "slots"])
+                    cols = [pa.array(ids[lo:hi][of[at]], pa.int64(), from_pandas=True), pa.array(key.view(np.int64)), pa.array((at - np.searchsorted(of, of[at])).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.full(len(key), exact)), pa.array(slots, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "whash", "pos", "size", "exact", "slots"])
 
     return df.mapInArrow(run, _SCHEMA)
 
@@ -169,12 +188,12 @@ def _emit(df: DataFrame, window: int, only: np.ndarray | None, lengths: list[int
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, same_slots): documents that hold windows of benchmark items.
 
-    n_windows counts the item's windows found, coverage is their share of the item's windows, same_slots tells whether
-    some hit has the item's own values.  Items of fewer than 5 tokens and windows with less than half literal tokens are
-    looked for by their exact tokens.  Null and empty texts have no windows; rows without an id are not reported; an
-    item that occurs twice in the benchmark counts once; an empty table on either side gives no rows.
+    Windows are counted as templates and as exact tokens, each by itself: coverage is the greater share of the item's
+    windows found, n_windows the greater number; same_slots tells whether some hit has the item's own values.  Null and
+    empty texts have no windows; rows without an id are not reported; an item that occurs twice in the benchmark counts
+    once; an empty table on either side gives no rows.
     """
-    items = _emit(benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), window, None, [])
+    items = _emit(benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), window, None)
     items = cut(items.where("id is not null").dropDuplicates(["id", "whash", "pos"]))
     n = items.count()
     blocks = max(1, -(-n // BLOCK_WINDOWS))
@@ -182,19 +201,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col
     hits = None
     for k in range(blocks if n else 0):
         block = items.where(F.pmod("whash", F.lit(blocks)) == k) if blocks > 1 else items
-        sent = block.select("whash", "size").distinct().toPandas()  # at most about BLOCK_WINDOWS rows
-        only = np.sort(sent["whash"].to_numpy().view(np.uint64))
-        lengths = sorted(set(sent["size"].tolist()))
-        found = _emit(rows, window, only, lengths)
+        hashes = block.select("whash", "size").distinct().toPandas()  # at most about BLOCK_WINDOWS rows
+        only = np.sort(hashes["whash"].to_numpy().view(np.uint64))
+        found = _emit(rows, window, rows.sparkSession.sparkContext.broadcast((only, sorted(set(hashes["size"].tolist())))))
         hits = found if hits is None else hits.union(found)
     if hits is None:
         hits = rows.sparkSession.createDataFrame([], _SCHEMA)
     i, d = items.alias("i"), hits.alias("d")
     agree = F.expr("not exists(sequence(1, greatest(size(i.slots), 1)), x -> x <= size(i.slots) and d.slots[array_position(i.slots, i.slots[x - 1]) - 1] <> d.slots[x - 1])")
     joined = d.join(i, (F.col("i.whash") == F.col("d.whash")) & (F.col("i.size") == F.col("d.size")) & (F.size("i.slots") == F.size("d.slots"))).where(agree)
-    per = joined.groupBy(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id")).agg(F.countDistinct("i.pos").alias("n_windows"), F.max(F.col("i.slots") == F.col("d.slots")).alias("same_slots"))
-    total = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("all"))
-    return per.join(total, "item_id").select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("all")).alias("coverage"), "same_slots")
+    per = joined.groupBy(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), F.col("i.exact").alias("exact")).agg(F.countDistinct("i.pos").alias("n"), F.max(F.col("i.exact") | (F.col("i.slots") == F.col("d.slots"))).alias("same"))
+    total = items.groupBy(F.col("id").alias("item_id"), "exact").agg(F.countDistinct("pos").alias("all"))
+    return per.join(total, ["item_id", "exact"]).groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max(F.col("n") / F.col("all")).alias("coverage"), F.max("same").alias("same_slots"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id") -> DataFrame:
