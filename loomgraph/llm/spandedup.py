@@ -4,13 +4,18 @@ Sharding.  With k-byte anchors chosen by windows of w positions and w + k - 1 =
 has an anchor at a place that its own bytes decide, so equal strings meet in the shard of an anchor.  The segment of an
 anchor holds every string of `length` bytes that has the anchor among its choices.  Anchors that occur once settle
 their strings at once; segments that are equal as a whole are repeated as a whole; only the differing segments of a
-repeated anchor have their strings compared, within the anchor.
+repeated anchor have their strings compared.
 
-Resolution.  resolve="suffix_array" builds the suffix array of the differing segments of an anchor by induced sorting
+A string that reaches no farther to the left of its anchor than half the way reaches half the way to the right, and the
+other way round.  So the differing segments of an anchor are parted by the bytes of half a context on the right, and
+once more by those on the left: equal strings are in one part of either sort, and a passage that very many texts share
+falls apart by what stands beside it.  A part of a single segment has no repeats and is never fetched.
+
+Resolution.  resolve="suffix_array" builds the suffix array of the segments of a part by induced sorting
 and reads the repeats from the permuted common prefixes.  resolve="windows" puts the same strings into classes by their
-128-bit identity (anchor, place, 64-bit hash) instead, in vector operations; the README has the figures of both.  Anchors
-with more than `wide` different segments are resolved by counting keys of the single strings, which Spark combines
-before the shuffle, so that no anchor is a group of unbounded size in one task.
+identity (part, place, 64-bit hash) instead, in vector operations; the README has the figures of both.  Parts with more
+than `wide` segments are resolved by counting keys of the single strings, which Spark combines before the shuffle, so
+that no part is a group of unbounded size in one task.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ from loomgraph.llm.sais import repeated_starts
 from loomgraph.llm.storage import cut, drop
 
 ANCHOR = 200
-#: Segments of an anchor up to this number are compared in one task (some 40 MB); more are counted by keys.
-WIDE = 50_000
+#: Segments of a part up to this number are compared in one task (some 10 MB); more are counted by keys.
+WIDE = 20_000
+#: A segment with more than this share (one in ...) of all places is dealt with apart; so there are fewer of them than this.
+MOST_HOT = 5000
 #: Strings whose keys a task holds at once.
 HELD_KEYS = 1_000_000
 _I64 = lambda a: pa.array(a.view(np.int64) if a.dtype == np.uint64 else a)
@@ -42,8 +49,10 @@ def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _occurrences(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(rid, k64, pos, anchor, seg): each anchor of each text, with the hash of its segment."""
+    """(rid, k64, pos, anchor, seg, lefts, rights): each anchor of each text, with the hashes of its segment and of half a
+    context on either side (0 where the text ends before)."""
     w = length - anchor + 1
+    before, after = _halves(length, anchor)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,18 +63,29 @@ def _occurrences(rows: DataFrame, length: int, anchor: int) -> DataFrame:
                 t = data[offsets[i] : offsets[i + 1]]
                 at, h = bt.anchors(t, anchor, w)
                 lo, hi = np.maximum(at - (w - 1), 0), np.minimum(at + length, len(t))
-                seg = bt.mix(bt.spans_hash(bt.prefix(t), lo, hi) + (at - lo).astype(np.uint64))
-                got.append([np.full(len(at), rid[i]), np.full(len(at), k64[i]), at.astype(np.int32), h, seg])
+                sums = bt.prefix(t)
+                seg = bt.mix(bt.spans_hash(sums, lo, hi) + (at - lo).astype(np.uint64))
+                lefts = np.where(at >= before, bt.spans_hash(sums, np.maximum(at - before, 0), at), np.uint64(0))
+                end = at + anchor
+                rights = np.where(end + after <= len(t), bt.spans_hash(sums, end, np.minimum(end + after, len(t))), np.uint64(0))
+                got.append([np.full(len(at), rid[i]), np.full(len(at), k64[i]), at.astype(np.int32), h, seg, lefts, rights])
             if got:
-                yield pa.RecordBatch.from_arrays([_I64(np.concatenate(c)) for c in zip(*got)], ["rid", "k64", "pos", "anchor", "seg"])
+                yield pa.RecordBatch.from_arrays([_I64(np.concatenate(c)) for c in zip(*got)], ["rid", "k64", "pos", "anchor", "seg", "lefts", "rights"])
+
+    return rows.mapInArrow(find, "rid long, k64 long, pos int, anchor long, seg long, lefts long, rights long")
+
 
-    return rows.mapInArrow(find, "rid long, k64 long, pos int, anchor long, seg long")
+def _halves(length: int, anchor: int) -> tuple[int, int]:
+    """Bytes before and after an anchor, of which each string that has it holds all of the one or all of the other."""
+    before = (length - anchor) // 2 + 1
+    return before, length - anchor - (before - 1)
 
 
 def _segments(rows: DataFrame, wanted: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The bytes of the wanted segments (rid, k64, pos, anchor, seg, n), cut from their texts."""
+    """The bytes of the wanted halves of segments (rid, k64, pos, part, on_left, n), cut from their texts."""
     w = length - anchor + 1
-    per_row = wanted.groupBy("rid", "k64").agg(F.collect_list(F.struct("pos", "anchor", "n")).alias("want"))
+    before, after = _halves(length, anchor)
+    per_row = wanted.groupBy("rid", "k64").agg(F.collect_list(F.struct("pos", "part", "on_left", "n")).alias("want"))
     joined = rows.join(per_row, ["rid", "k64"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,16 +94,15 @@ def _segments(rows: DataFrame, wanted: DataFrame, length: int, anchor: int) -> D
             want = b.column(b.schema.get_field_index("want"))
             ends = want.offsets.to_numpy()
             flat = want.values
-            pos, anc, n = (flat.field(i).to_numpy() for i in range(3))
+            pos, part, on_left, n = (flat.field(i).to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for i in range(4))
             rid, k64 = (b.column(i).to_numpy() for i in (0, 1))
-            step = 2000
             row = np.repeat(np.arange(len(b)), np.diff(ends))
-            pos, anc, n = pos[ends[0] : ends[-1]], anc[ends[0] : ends[-1]], n[ends[0] : ends[-1]]
-            for s in range(0, len(row), step):
-                r, p = row[s : s + step], pos[s : s + step].astype(np.int64)
-                lo, hi = np.maximum(p - (w - 1), 0) + offsets[r], np.minimum(p + length + offsets[r], offsets[r + 1])
+            for s in range(0, len(row), 2000):
+                r, p, left = row[s : s + 2000], pos[s : s + 2000].astype(np.int64), on_left[s : s + 2000]
+                lo = np.maximum(p - np.where(left, w - 1, before - 1), 0) + offsets[r]
+                hi = np.minimum(p + np.where(left, anchor + after - 1, length) + offsets[r], offsets[r + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (rid[r], k64[r], pos[s : s + step], anc[s : s + step], n[s : s + step])] + [pa.array([data[a:z].tobytes() for a, z in zip(lo, hi)], pa.binary()), pa.array((p + offsets[r] - lo).astype(np.int32))],
+                    [pa.array(x) for x in (rid[r], k64[r], pos[s : s + 2000], part[s : s + 2000], n[s : s + 2000])] + [pa.array([data[a:z].tobytes() for a, z in zip(lo, hi)], pa.binary()), pa.array((p + offsets[r] - lo).astype(np.int32))],
                     ["rid", "k64", "pos", "anchor", "n", "bytes", "left"],
                 )
 
@@ -202,16 +221,21 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     whole = F.greatest(F.col("pos") - (w - 1), F.lit(0)).alias("lo"), (F.col("pos") + length).alias("hi")
     plain = live.where("not mixed").select("rid", "k64", *whole)
     mixed = live.where("mixed")
-    segs = cut(mixed.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "k64", "pos")).alias("at")))
+    segs = cut(mixed.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "k64", "pos")).alias("at"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights")))
     again = segs.where("n > 1").select("anchor", "seg")
-    same = mixed.join(again, ["anchor", "seg"], "left_semi").select("rid", "k64", *whole)
-    sizes = segs.groupBy("anchor").agg(F.count("*").alias("m"))
-    crowded = cut(sizes.where(F.col("m") > wide).select("anchor"))
-    wanted = segs.select("at.rid", "at.k64", "at.pos", "anchor", "n")
-    narrow = wanted.join(crowded, "anchor", "left_anti")
-    found = [plain, same, _resolve(_segments(rows, narrow, length, anchor), length, anchor, resolve)]
-    if not crowded.isEmpty():
-        found.append(_resolve_wide(_segments(rows, wanted.join(crowded, "anchor", "left_semi"), length, anchor), length, anchor))
+    # segments that very many texts share are few: they go to every task, so that none is a group in one task
+    total = segs.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(segs.where((F.col("n") > 1) & (F.col("n") > total / MOST_HOT)).select("anchor", "seg"))
+    same = mixed.join(hot, ["anchor", "seg"], "left_semi").select("rid", "k64", *whole)
+    same = same.union(mixed.join(hot, ["anchor", "seg"], "left_anti").join(again, ["anchor", "seg"], "left_semi").select("rid", "k64", *whole))
+    # the two halves of a segment, each in the part of its anchor and its context
+    half = lambda on_left, c: F.when(F.col(c) != 0, F.struct(F.lit(on_left).alias("on_left"), F.xxhash64("anchor", F.lit(on_left), c).alias("part")))
+    halves = segs.select("at.rid", "at.k64", "at.pos", "n", F.explode(F.array_compact(F.array(half(True, "lefts"), half(False, "rights")))).alias("h")).select("rid", "k64", "pos", "n", "h.*")
+    parts = cut(halves.groupBy("part").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("part", "m"))
+    wanted = halves.join(parts, "part")
+    found = [plain, same, _resolve(_segments(rows, wanted.where(F.col("m") <= wide), length, anchor), length, anchor, resolve)]
+    if not parts.where(F.col("m") > wide).isEmpty():
+        found.append(_resolve_wide(_segments(rows, wanted.where(F.col("m") > wide), length, anchor), length, anchor))
     ranges = found[0]
     for f in found[1:]:
         ranges = ranges.union(f)
