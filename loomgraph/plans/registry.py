@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import shutil
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
 from loomgraph.operators import candidates, dsl, graph, hotspots, isolation, navigate, retrieval, similarity, soft_edges
+from loomgraph.sinks import reports
+from loomgraph.sinks.store import Store, export_graphs, write_graph
 from loomgraph.sources import files, markup
 from loomgraph.sources.binding import frame, with_bindings
-from loomgraph.sources.shared import kept
+from loomgraph.sources.shared import kept, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -908,3 +916,298 @@ def access_kinds(t: Tables) -> DataFrame:
     """Statements that use a field."""
     rows = t.fields.withColumn("statement", F.expr(_STATEMENTS.format(k="k", n="name")))
     return rows.select("fqn", text.access_kind(F.col("statement"), F.col("name")).alias("access_kind"))
+
+
+# -- the store, files and markup: what is written is read back and compared with SQL over the tables it came from --
+
+
+def _folder(t: Tables) -> Path:
+    """A folder of its own below the shared one, for files that the driver writes."""
+    at = Path(shared_folder(t.spark).removeprefix("file://").removeprefix("file:")) / f"loomgraph-{uuid.uuid4().hex}"
+    at.mkdir(parents=True)
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return at
+
+
+def _store(t: Tables) -> Store:
+    """A store with the methods and types of the bound tables as symbols."""
+    s = Store(t.spark, str(_folder(t)))
+    s.init()
+    s.save_symbols(t.stored("symbols").withColumn("ordinal", F.lit(0).cast("long")).withColumn("document_id", F.col("file_path")))
+    return s
+
+
+@query("""select fqn, arg_max(name, ordinal) as name, arg_max(project_id, ordinal) as project_id, arg_min(namespace, ordinal) filter (namespace is not null) as namespace, arg_min(return_type, ordinal) filter (return_type is not null) as return_type, sha256(fqn) as id,
+    cast(min(line_start) as int) as line_start, cast(max(line_end) as int) as line_end, cast(sum(loc) as bigint) as loc, cast(case when count(*) > 1 then max(coalesce(parameter_count, 0)) else max(parameter_count) end as int) as parameter_count, bool_or(is_async) as is_async from arrivals group by fqn""")
+def store_symbols(t: Tables) -> DataFrame:
+    """Arrivals merged in two steps."""
+    s = Store(t.spark, str(_folder(t)))
+    s.init()
+    a = t.stored("arrivals")
+    s.save_symbols(a.where("ordinal % 2 = 1"))
+    s.save_symbols(a.where("ordinal % 2 = 0").withColumn("ordinal", F.col("ordinal") + 1_000_000))
+    return s.table("symbols").select("fqn", "name", "project_id", "namespace", "return_type", "id", "line_start", "line_end", "loc", "parameter_count", "is_async")
+
+
+ORACLE_SQL["store_symbols"] = ORACLE_SQL["store_symbols"].replace("from arrivals group by fqn", "from (select * replace (case when ordinal % 2 = 1 then ordinal else ordinal + 1000000 end as ordinal) from arrivals) group by fqn")
+
+
+@query(f"select sha256(c.caller) as caller_id, sha256(c.callee) as callee_id, c.call_type, {_RULE_FIELDS}, c.call_count from method_calls c join symbols a on a.fqn = c.caller join symbols b on b.fqn = c.callee")
+def store_calls(t: Tables) -> DataFrame:
+    """Calls with every call doubled by a later one of another count, which loses."""
+    s = _store(t)
+    calls = t.stored("method_calls")
+    s.save_calls(calls.withColumn("ordinal", F.lit(1)).union(calls.withColumn("call_count", F.lit(99).cast("long")).withColumn("ordinal", F.lit(2))))
+    return s.table("method_calls")
+
+
+@query("select accessor as accessor_fqn, target as target_fqn, access_kind, arg_min(is_external, ordinal) as is_external from field_accesses group by 1, 2, 3")
+def store_accesses(t: Tables) -> DataFrame:
+    s = Store(t.spark, str(_folder(t)))
+    s.init()
+    s.save_accesses(t.field_accesses)
+    return s.table("field_accesses")
+
+
+@query("select source as source_project_id, target as target_project_id from project_refs")
+def store_dependencies(t: Tables) -> DataFrame:
+    """The same references saved twice."""
+    s = Store(t.spark, str(_folder(t)))
+    s.init()
+    refs = t.stored("project_refs").withColumnsRenamed({"source": "source_project_id", "target": "target_project_id"})
+    s.save_dependencies(refs)
+    s.save_dependencies(refs)
+    return s.table("project_dependencies")
+
+
+@query("select distinct sha256(i.derived) as derived_id, sha256(i.base) as base_id, i.kind from inheritance i join symbols d on d.fqn = i.derived join symbols b on b.fqn = i.base")
+def store_inheritance(t: Tables) -> DataFrame:
+    s = _store(t)
+    s.save_inheritance(t.inheritance.union(t.inheritance))
+    return s.table("inheritance")
+
+
+@query(f"select distinct sha256(u.source) as source_id, sha256(u.target) as target_id, u.type as relationship_type, {_RULE_FIELDS} from type_uses u join symbols a on a.fqn = u.source join symbols b on b.fqn = u.target")
+def store_type_uses(t: Tables) -> DataFrame:
+    """A part of the uses first, then all of them: what is there is not added again, null rule fields or not."""
+    s = _store(t)
+    s.save_type_uses(t.stored("type_uses").where("rule_mode is null or rule_mode = 'hard'"))
+    s.save_type_uses(t.stored("type_uses"))
+    return s.table("symbol_relationships")
+
+
+@query("select id, arg_max(status, ordinal) as status from run_events group by 1")
+def store_put(t: Tables) -> DataFrame:
+    """Rows by id, the last of which stays."""
+    s = Store(t.spark, str(_folder(t)))
+    s.init()
+    runs = frame(*t._at, "run_events")
+    for low in (0, 150):
+        s.put("analysis_runs", runs.where(f"ordinal >= {low} and ordinal < {low + 150}"))
+    return s.table("analysis_runs").select("id", "status")
+
+
+@query("""select 'symbols' as name, count(*) as n from symbols where project_id not in ('n1', 'n2') union all select 'method_calls', count(*) from thin_calls c join symbols a on a.fqn = c.caller join symbols b on b.fqn = c.callee where a.project_id not in ('n1', 'n2')
+    union all select 'field_accesses', count(*) from (select distinct accessor, target, access_kind from thin_accesses) f left join symbols a on a.fqn = f.accessor where a.project_id is null or a.project_id not in ('n1', 'n2')""")
+def store_reset_projects(t: Tables) -> DataFrame:
+    """What is left when two projects are dropped: edges into them from elsewhere stay."""
+    s = _store(t)
+    s.save_calls(t.thin_calls)
+    s.save_accesses(t.thin_accesses)
+    s.reset_projects(["n1", "n2"])
+    counts = [s.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("symbols", "method_calls", "field_accesses")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("select 'analysis_runs' as name, 1 as n union all select 'symbols', 0 union all select 'projects', 0")
+def store_reset(t: Tables) -> DataFrame:
+    """A full reset keeps the runs alone; a table of an older shape gets the columns that it lacks."""
+    s = _store(t)
+    s.put("analysis_runs", t.spark.createDataFrame([("r", "completed")], "id string, status string"))
+    s.put("projects", t.projects)
+    s.reset()
+    counts = [s.table(n).agg(F.lit(n).alias("name"), F.count("*").cast("int").alias("n")) for n in ("analysis_runs", "symbols", "projects")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("select fqn, cast(null as string) as document_id, cast(null as boolean) as is_async, cast(null as bigint) as fan_in from types")
+def store_migration(t: Tables) -> DataFrame:
+    """A table that was written with fewer columns, as the store reads it."""
+    at = _folder(t)
+    t.types.select("fqn").write.parquet(str(at / "symbols"))
+    return Store(t.spark, str(at)).table("symbols").select("fqn", "document_id", "is_async", "fan_in")
+
+
+@query("""select s.fqn, cast(coalesce(n, 0) as bigint) as fan_in from symbols s left join (select fqn, sum(c) as n from (select c.callee as fqn, count(*) as c from thin_calls c join symbols a on a.fqn = c.caller group by 1
+    union all select i.base, count(*) from inheritance i group by 1 union all select target, count(*) from (select distinct accessor, target, access_kind from thin_accesses) group by 1) group by 1) x on x.fqn = s.fqn""")
+def store_fan_in(t: Tables) -> DataFrame:
+    s = _store(t)
+    s.save_calls(t.thin_calls)
+    s.save_inheritance(t.inheritance)
+    s.save_accesses(t.thin_accesses)
+    s.count_fan_in()
+    return s.table("symbols").select("fqn", "fan_in")
+
+
+@query(f"select source, target, type, {_RULE_FIELDS} from {_simple('type_uses', 'source', 'target', 'type')} where target not like 'System%'")
+def graph_file_edges(t: Tables) -> DataFrame:
+    """A graph written as node-link JSON and read back: of parallel links the last in the file stays."""
+    at = _folder(t) / "type_dependency_graph.json"
+    order = [F.asc_nulls_first(c) for c in ("source", "target", "type", *graph.RULE_FIELDS)]
+    write_graph(at, "type_dependency", t.symbols.select(F.col("fqn").alias("id"), "kind"), t.type_uses.orderBy(*order), "run")
+    return files.read_graph(t.spark, files.graph_path(str(at.parent), at.name)).edges.select("source", "target", "type", *graph.RULE_FIELDS)
+
+
+@query("""select 'call' as graph, (select count(*) from symbols where kind in ('method', 'constructor', 'event', 'lambda', 'xaml', 'framework_method')) as nodes, (select count(distinct (c.caller, c.callee)) from thin_calls c join symbols a on a.fqn = c.caller join symbols b on b.fqn = c.callee where a.kind not in ('class', 'interface', 'struct', 'field', 'property') and b.kind not in ('class', 'interface', 'struct', 'field', 'property')) as edges
+    union all select 'inheritance', (select count(*) from (select fqn from symbols where kind in ('class', 'interface') union select d.fqn from inheritance i join symbols d on d.fqn = i.derived join symbols b on b.fqn = i.base union select b.fqn from inheritance i join symbols d on d.fqn = i.derived join symbols b on b.fqn = i.base)), (select count(distinct (i.derived, i.base)) from inheritance i join symbols d on d.fqn = i.derived join symbols b on b.fqn = i.base)
+    union all select 'dependency', (select count(distinct name) from projects), (select count(*) from project_refs)
+    union all select 'field_access', (select count(*) from (select accessor from thin_accesses union select target from thin_accesses)), (select count(distinct (accessor, target)) from thin_accesses)
+    union all select 'type_dependency', (select count(*) from symbols), (select count(distinct (source, target)) from type_uses)""")
+def graph_files(t: Tables) -> DataFrame:
+    """The five graph files of a store: how many nodes and edges each has when it is read."""
+    s, at = _store(t), _folder(t)
+    s.put("projects", t.projects)
+    s.save_calls(t.thin_calls)
+    s.save_inheritance(t.inheritance)
+    s.save_accesses(t.thin_accesses)
+    s.save_type_uses(t.type_uses)
+    s.save_dependencies(t.project_refs.withColumnsRenamed({"source": "source_project_id", "target": "target_project_id"}))
+    export_graphs(s, str(at), "run")
+    found = [(name, g.nodes.count(), g.edges.count()) for name, g in files.read_graphs(t.spark, str(at)).items()]
+    return t.spark.createDataFrame(found, "graph string, nodes long, edges long")
+
+
+@query("""select source, target, type, case when ordinal % 2 = 1 then 0.9::double else confidence end as confidence from (select trim(source) as source, trim(target) as target, case when trim(type) = '' then 'ai_soft_edge' else trim(type) end as type, confidence, ordinal from soft_edges where ordinal < 200 and trim(source) <> '' and (confidence is null or confidence between 0 and 1))
+    qualify row_number() over (partition by source, target, type order by ordinal % 2 desc, ordinal desc) = 1""")
+def soft_edge_files(t: Tables) -> DataFrame:
+    """Suggested edges imported from one file, then merged with those of another."""
+    at = _folder(t)
+    rows = t.stored("soft_edges").where("ordinal < 200 and trim(source) <> '' and (confidence is null or confidence between 0 and 1)").orderBy("ordinal").collect()
+    for part in (0, 1):
+        edges = [{"source": r.source, "target": r.target, "type": r.type, "confidence": 0.9 if part else r.confidence, "evidence": [r.evidence] if r.evidence else []} for r in rows if r.ordinal % 2 == part]
+        (at / "in.json").write_text("\ufeff" + json.dumps({"schema_version": 1, "edges": edges} if part else edges), encoding="utf-8")
+        reports.import_soft_edges(t.spark, str(at / "in.json"), str(at))
+    found, _ = files.read_soft_import(t.spark, files.soft_edge_path(str(at / "graphs"), str(at)))
+    return found.select("source", "target", "type", "confidence")
+
+
+@query(f"select {_EDGE} from {_EMIT} where rule_id = 'di.service_type'")
+def dsl_rule_folder(t: Tables) -> DataFrame:
+    """The rules of a folder: one that holds, one of records that no scan offers, one that cannot be read."""
+    at = _folder(t)
+    good = _RULE.format(id="service_type", names='["GetService", "GetRequiredService"]', kind="class", field="name", op="eq", edge="candidate_type_dependency", call="")
+    for name, rule in (("a", good), ("b", good.replace('"csharp_invocation"', '"assembly_attribute"')), ("c", good.replace('"eq"', '"has_attribute"'))):
+        (at / f"{name}.json").write_text(rule, encoding="utf-8")
+    rules, wrong = dsl.load_rules(str(at))
+    assert len(rules) == 2 and list(wrong) == ["c.json"]
+    return dsl.emitted(dsl.in_scope(rules), _records(t))[0]
+
+
+_X = "http://schemas.microsoft.com/winfx/2006/xaml"
+_MARKUP = f"""concat('<Window x:Class="', containing_type, '" xmlns="urn:w" xmlns:x="{_X}" xmlns:v="clr-namespace:App.Views;assembly=App" Title="', name, '"><v:Panel Click="On', cast(k as string), '" Tag="{{x:Static v:Keys.Main}}" Kind="{{x:Type v:Item', cast(k % 3 as string), '}}" DataType="v:Row"/><Grid/></Window>')"""
+
+
+def _markup_files(t: Tables) -> DataFrame:
+    return t.markup.select("file_path", F.expr(_MARKUP).alias("text"))
+
+
+@query("""select containing_type as owner, u.element, u.name, u.value, 'xaml::' || containing_type || '::' || u.element || '::' || u.name as fqn from markup m, unnest([{'element': 'Window', 'name': 'Class', 'value': containing_type}, {'element': 'Window', 'name': 'Title', 'value': m.name}, {'element': 'Panel', 'name': 'Click', 'value': 'On' || k},
+    {'element': 'Panel', 'name': 'Tag', 'value': '{x:Static v:Keys.Main}'}, {'element': 'Panel', 'name': 'Kind', 'value': '{x:Type v:Item' || (k % 3) || '}'}, {'element': 'Panel', 'name': 'DataType', 'value': 'v:Row'}]) as x(u)""")
+def xml_attribute_records(t: Tables) -> DataFrame:
+    """Attributes of markup files as records of the rule language."""
+    value = lambda k: F.element_at("rec", F.lit(k))
+    return markup.attribute_records(_markup_files(t)).select(value("document.x_class").alias("owner"), value("element.name").alias("element"), value("name").alias("name"), value("value").alias("value"), value("fqn").alias("fqn"))
+
+
+@query("""select distinct 'xaml::' || containing_type || '::' || regexp_extract(file_path, '[^/\\\\]*$') as fqn, u.target, u.type from markup, unnest([{'target': containing_type, 'type': 'xaml_codebehind'}, {'target': 'App.Views.Panel', 'type': 'xaml_type_usage'}, {'target': 'App.Views.Keys', 'type': 'xaml_type_usage'},
+    {'target': 'App.Views.Item' || (k % 3), 'type': 'xaml_type_usage'}, {'target': 'App.Views.Row', 'type': 'xaml_type_usage'}]) as x(u)""")
+def xaml_documents(t: Tables) -> DataFrame:
+    """The class behind each markup file and the types that it uses."""
+    return markup.documents(_markup_files(t)).select("fqn", "target", "type").distinct()
+
+
+@query("""select file_path, case when n % 3 = 0 then 'Lib.' || name else name end as name, case when n % 2 = 0 then 'net8.0' end as target_framework, case when n % 5 = 0 then 'Exe' else 'Library' end as project_type, case when n % 4 = 0 then n % 8 = 0 else n % 3 = 1 end as is_test_project, n % 2 = 0 as is_sdk_style
+    from (select file_path, name, cast(substr(id, 2) as int) as n from projects)""")
+def project_metadata(t: Tables) -> DataFrame:
+    """Project files: names, frameworks, and whether they are tests by their flag, else by a package."""
+    n = "cast(substr(id, 2) as int)"
+    text_of = f"""concat('<Project', case when {n} % 2 = 0 then ' Sdk="Microsoft.NET.Sdk"><TargetFramework>net8.0</TargetFramework>' else '>' end, case when {n} % 3 = 0 then concat('<AssemblyName> Lib.', name, '</AssemblyName>') else '' end, case when {n} % 5 = 0 then '<OutputType>Exe</OutputType>' else '' end,
+        case when {n} % 4 = 0 then concat('<IsTestProject>', case when {n} % 8 = 0 then 'True' else 'False' end, '</IsTestProject>') else '' end, case when {n} % 3 = 1 then '<PackageReference Include="NUnit"/>' else '' end, '</Project>')"""
+    return files.project_metadata(t.projects.select("file_path", F.expr(text_of).alias("text"))).drop("assembly_name")
+
+
+@query("""select min(path) as path from (select replace(file_path, chr(92), '/') as path from markup union all select upper(replace(file_path, chr(92), '/')) from markup where k % 2 = 0) group by lower(path)""")
+def markup_paths(t: Tables) -> DataFrame:
+    """Markup files that are declared, found by walking, or both in another case."""
+    declared = t.markup.select(F.col("file_path").alias("path"))
+    walked = t.markup.where("k % 2 = 0").select(F.upper("file_path").alias("path")).union(t.types.select(F.col("file_path").alias("path"))).union(declared.select(F.concat(F.lit("C:\\obj\\"), "path")))
+    return files.markup_paths(declared, walked)
+
+
+@query("""select path from (select '/r/' || case when k % 4 = 0 then 'src/' when k % 4 = 1 then 'demo/a/' when k % 4 = 2 then 'extension/x/y/' else 'bin/' end || name || case when k % 3 = 0 then '.sln' else '.csproj' end as path, k from types)
+    where path not like '/r/bin/%' order by path like '%.csproj', (length(path) - length(replace(path, '/', '')) - 2) * 10 + case when path like '/r/src/%' then case when path like '%.sln' then -20 else -10 end else 0 end + case when path like '%/extension/%' and path not like '/r/extension/%' then 30 else 0 end
+    + case when path like '%.csproj' and regexp_matches(lower(substr(path, 4)), 'demo|sample|test') then 20 else 0 end, length(path), path limit 1""")
+def scan_target(t: Tables) -> DataFrame:
+    """The solution that is opened below a folder: one row."""
+    made = F.expr("concat('/r/', case k % 4 when 0 then 'src/' when 1 then 'demo/a/' when 2 then 'extension/x/y/' else 'bin/' end, name, case when k % 3 = 0 then '.sln' else '.csproj' end)")
+    return files.best_candidate(t.types.select(made.alias("path")), "/r")
+
+
+@query(f"""with v as (select vec_id, embedding, label from vectors), q as (select embedding from v where vec_id = 0), p as (select v.vec_id, round(list_inner_product(v.embedding::double[], w.embedding::double[]) / {_NORM.format('v')} / {_NORM.format('w')}, 9) as exact from v, q w where v.label = 1),
+    r as (select vec_id, round(exact, 4) as score, cast(row_number() over (order by exact desc, vec_id) as int) as rank from p qualify rank <= 20)
+    select rank, score, 'v' || vec_id as fqn, 'Called by: v' || (vec_id - 2) || ';Called by: v' || (vec_id - 1) || ';Calls: v' || (vec_id + 1) || ';Calls: v' || (vec_id + 2) as context from r""")
+def vector_search(t: Tables) -> DataFrame:
+    """A question against an index of one kind of symbols, with what surrounds each hit two steps far."""
+    one = [float(x) for x in t.vectors.where("vec_id = 0").first()["embedding"]]
+    index = t.vectors.select("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("fqn"), F.when(F.col("label") == 1, "method").otherwise("class").alias("kind"), F.lit("p").alias("project_id"), F.lit("").alias("summary"), "embedding")
+    chain = t.vectors.select(F.explode(F.expr("array(vec_id - 2, vec_id - 1, vec_id, vec_id + 1)")).alias("i")).distinct().select(F.concat(F.lit("v"), F.col("i").cast("string")).alias("caller"), F.concat(F.lit("v"), (F.col("i") + 1).cast("string")).alias("callee"))
+    hits = retrieval.search(index, "question", lambda _: np.array([one]), {"call": (chain, "caller", "callee")}, kind="method")
+    return hits.select("rank", "score", "fqn", F.array_join("context", ";").alias("context"))
+
+
+_FIRST = f"(select fqn from d where drop_reason is null order by loc desc, fqn limit 50)"  # noqa: F541
+_CATEGORY = f"""s as (select s.fqn, kind, name, containing_type, namespace, project_id, return_type, parameter_count, regexp_extract(file_path, '[^/\\\\]*$') as file_name, {_TOKENS('s.fqn')} as tokens, {_LISTS} from symbols s),
+    pairs as (select a.fqn as source, b.fqn, round(({_SURE})::double, 4) as score, coalesce(a.containing_type = b.containing_type and a.containing_type <> '', false) or coalesce(a.namespace = b.namespace and a.namespace <> '', false) as near, {_LIKE('a.tokens', 'b.tokens')} > 0 as named,
+    {_LIKE('a.callers', 'b.callers')} > 0 or {_LIKE('a.callees', 'b.callees')} > 0 or {_LIKE('a.used_types', 'b.used_types')} > 0 or {_LIKE('a.used_fields', 'b.used_fields')} > 0 as shared from s a join s b on a.fqn <> b.fqn and a.kind = b.kind and b.kind not in ('xaml', 'lambda', 'framework_method') where a.fqn in {_FIRST}),
+    best as (select * from pairs qualify row_number() over (partition by source order by score desc, fqn) = 1), named as (select d.fqn, d.loc, case when best.score >= 0.7 and near and named then 'near-family' when best.score >= 0.55 and (shared or near) then 'structural-sibling' else 'isolated' end as category from d left join best on best.source = d.fqn and best.score >= 0.45 where d.drop_reason is null)"""
+
+
+def _named(t: Tables) -> DataFrame:
+    """Categories of candidates by their nearest symbol, shapes of names left out."""
+    d = kept(_decided(t).where("drop_reason is null").select("fqn", "loc"))
+    first = d.orderBy(F.desc("loc"), "fqn").limit(50).select("fqn")
+    best = similarity.related(t.stored("symbols"), similarity.feature_sets(_graphs(t)), first, 1, shapes=False, least=0.45).select(F.col("source").alias("fqn"), "score", "reasons")
+    return d.join(best, "fqn", "left").withColumn("category", isolation.category(F.col("score"), F.col("reasons"))).select("fqn", "loc", "category")
+
+
+@query(f"with {_HARD}, {_CATEGORY} select * from named")
+def isolation_category_no_seqmatch(t: Tables) -> DataFrame:
+    return _named(t)
+
+
+@query(f"with {_HARD}, {_CATEGORY} select c.category, count(named.fqn) as n from (values ('isolated'), ('structural-sibling'), ('near-family')) c(category) left join named on named.category = c.category group by 1")
+def isolation_category_counts(t: Tables) -> DataFrame:
+    return isolation.category_counts(_named(t))
+
+
+@query(f"with {_HARD}, {_CATEGORY} select fqn, category, cast(row_number() over (order by list_position(['isolated', 'structural-sibling', 'near-family'], category), loc desc, fqn) as int) as rank from named qualify rank <= 20")
+def isolation_report(t: Tables) -> DataFrame:
+    """The report's first twenty rows: isolated ones first, then the longest."""
+    rows = isolation.prioritised(_named(t)).limit(20)
+    order = Window.orderBy(F.array_position(F.array(*map(F.lit, isolation.CATEGORIES)), F.col("category")), F.desc("loc"), "fqn")
+    return rows.withColumn("rank", F.row_number().over(order)).select("fqn", "category", "rank")
+
+
+@query(f"""{_XAML} select xaml_fqn, file_path || coalesce((select string_agg(distinct ';' || m.file_path, '') from symbols m join ({_EARLY}) f on f.fqn = m.fqn where m.kind = 'method' and m.containing_type = y.containing_type and f.fan_in = 0 and contains(m.fqn, 'EventArgs') and m.file_path <> y.file_path), '') as context_files from y where score > 0""")
+def candidate_context(t: Tables) -> DataFrame:
+    """The files that a markup candidate hangs together with, each once in the order of finding."""
+    calls, uses = graph.simple_digraph(t.thin_calls), graph.simple_digraph(t.type_uses, "source", "target", "type")
+    found = candidates.with_context(candidates.xaml_candidates(t.stored("symbols"), t.projects, kept(_early_fan_in(t)), calls, uses), "xaml")
+    return found.select("xaml_fqn", F.array_join("context_files", ";").alias("context_files"))
+
+
+@query("select event_id, ts as parsed from event_times")
+def timestamp_round_trip(t: Tables) -> DataFrame:
+    """Times written as ISO texts and read again: the first thousand events."""
+    text_of = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return frame(*t._at, "event_times").select("event_id", F.to_timestamp_ntz(text_of, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("parsed"))

@@ -65,6 +65,8 @@ BINDINGS = {
     "solutions": "select concat('r', cast(r_regionkey as string)) as id, r_name as name from region",
     "projects": "select concat('n', cast(n_nationkey as string)) as id, n_name as name, concat('r', cast(n_regionkey as string)) as solution_id, concat('C:', chr(92), 'repo', chr(92), n_name, '.csproj') as file_path, n_nationkey % 10 = 7 as is_test_project from nation",
     "runs": "select concat('run', cast(event_id as string)) as id, ts as started_at, case when event_type = 'error' then 'failed' else 'completed' end as status from events where event_id % 7 = 0 and event_id < 60",
+    "run_events": "select concat('run', cast(cast(floor(event_id / 3) as bigint) % 40 as string)) as id, event_type as status, event_id as ordinal from events where event_id < 300",
+    "event_times": "select event_id, ts from events where event_id < 1000",
     "types": f"""select s_suppkey as k, concat('App.N', cast(s_nationkey as string), case when s_suppkey % {len(TYPE_SUFFIXES)} = 11 then concat('.S', cast(s_suppkey as string)) else '' end, '.', {_TYPE_NAME}) as fqn,
         {_TYPE_NAME} as name, concat('App.N', cast(s_nationkey as string)) as namespace, concat('n', cast(s_nationkey as string)) as project_id,
         concat('C:', chr(92), 'repo', chr(92), {_FOLDER}, chr(92), 'Supplier', cast(s_suppkey as string), {_SUFFIX}, case s_suppkey % {len(TYPE_SUFFIXES)} when 1 then '.xaml.cs' when 17 then '.Designer.cs' else '.cs' end) as file_path,
@@ -133,6 +135,8 @@ def _closure(names: list[str]) -> list[str]:
 def with_bindings(sql: str) -> str:
     """`sql` with the bindings that it names in front, as common table expressions."""
     used = [n for n in BINDINGS if re.search(rf"\b(from|join) {n}\b", sql)]
+    if not used:
+        return sql
     head = ", ".join(f"{n} as ({BINDINGS[n]})" for n in _closure(used))
     if sql.lstrip().lower().startswith("with "):
         return f"with {head}, {sql.lstrip()[5:]}"
