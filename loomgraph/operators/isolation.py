@@ -159,20 +159,17 @@ def cascade(symbols: DataFrame, projects: DataFrame, fan_in: DataFrame, calls: D
     The reasons are tried in a fixed order; a suppressing rule comes first, so that rules can be counted over the rows
     that are dropped later.  Every test is a left join on the symbol's name or its type's, all in one projection.
     """
-    flag = lambda df, key, name: df.select(F.col(key).alias("__k")).distinct().withColumn(name, F.lit(True))
-
-    def mark(df: DataFrame, other: DataFrame, key: str, name: str, by: str) -> DataFrame:
-        return df.join(flag(other, key, name), F.col(by) == F.col("__k"), "left").drop("__k")
-
     counted = fan_in.select("fqn", "fan_in")
+    alive = counted.where("fan_in > 0").select("fqn").union(calls.select("callee"))
+    live = symbols.where("containing_type is not null").select("fqn", "containing_type").join(alive, "fqn", "left_semi")
+    # what edges tell of a name, in one grouped pass and one join
+    told = [(calls, "callee", "called"), (uses, "target", "used"), (live, "containing_type", "has_live"), (inheritance, "base", "has_derived"), *([(soft, "target", "soft")] if soft is not None else [])]
+    each = reduce(DataFrame.union, [df.select(F.col(key).alias("fqn"), F.lit(name).alias("mark")) for df, key, name in told])
+    marks = each.groupBy("fqn").agg(*[F.max(F.col("mark") == name).alias(name) for name in ("called", "used", "has_live", "has_derived", "soft")])
     bare = symbols.join(counted.where("fan_in = 0"), "fqn", "left_semi")
     s = with_siblings(symbols, inheritance, bare).withColumn("rules", rule_array())
-    live = symbols.select("fqn", "containing_type").where("containing_type is not null").join(counted, "fqn").join(flag(calls, "callee", "called"), F.col("fqn") == F.col("__k"), "left").where("fan_in > 0 or called")
-    s = s.join(projects.select(F.col("id").alias("project_id"), "is_test_project"), "project_id", "left")
-    s = mark(s, calls, "callee", "called", "fqn")
-    s = mark(s, soft, "target", "soft", "fqn") if soft is not None else s.withColumn("soft", F.lit(None).cast("boolean"))
-    s = mark(mark(s, uses, "target", "used", "fqn"), uses, "target", "type_used", "containing_type")
-    s = mark(mark(s, live, "containing_type", "has_live", "fqn"), inheritance, "base", "has_derived", "fqn")
+    s = s.join(projects.select(F.col("id").alias("project_id"), "is_test_project"), "project_id", "left").join(marks, "fqn", "left")
+    s = s.join(uses.select(F.col("target").alias("containing_type"), F.lit(True).alias("type_used")).distinct(), "containing_type", "left")
     test = F.coalesce("is_test_project", F.lit(False)) | any_of(F.lower(F.concat_ws(" ", "fqn", "file_path")), TEST_MARKERS)
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     is_type = F.col("kind").isin("class", "interface")
