@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import literals
-from loomgraph.llm.storage import cut
+from loomgraph.llm.storage import cut, small_batches, tidy
 
 #: The cache of common words is learned from about so many documents and holds so many words at most.  It only saves
 #: work: what it lacks is encoded by the same fold, text by text.
@@ -128,7 +128,7 @@ class Codec:
 
     def _rank(self, a: str, b: str) -> str:
         """Rank of the pair (a, b) in its place of a state, _NONE there if it has none."""
-        return f"shiftleft(least(t.r[t.d[{a}] + {b}] ^ shiftleft({a}, 20), {_NONE}L), 46)"
+        return f"shiftleft(least(t.r[t.d[{a}] + {b}] ^ shiftleft({a} + 1L, 20), {_NONE}L), 46)"
 
     def _fold(self, word: str) -> str:
         """The identifiers of `word`, joined by commas, with the constant table under the name t.
@@ -160,8 +160,16 @@ class Codec:
         whole = f"if(size({column}.words) = 0, {column}.pieces[0], {filled})"
         return found.withColumn("__ranks", self.ranks).withColumn(name, F.expr(whole)).drop("__ranks")
 
-    def decode(self, coded: DataFrame, ids: str = "ids", name: str = "decoded") -> DataFrame:
-        """`coded` with a binary column: the bytes of the identifiers that column `ids` holds joined by commas."""
+    def decode(self, coded: DataFrame, ids: str = "ids", name: str = "decoded", workers: bool = True) -> DataFrame:
+        """`coded` with a binary column: the bytes of the identifiers that column `ids` holds joined by commas.
+
+        With `workers`, Arrow batches join the pieces; without, Spark's own functions do, as hexadecimal texts, since only
+        texts can be joined in one step: they take about twice the time but no further worker and its memory.
+        """
+        if not workers:
+            pieces = F.split(F.lit(",".join(p.hex() for p in self.pieces)), ",")
+            joined = f"array_join(transform(split({ids}, ','), i -> t[cast(i as int)]), '')"
+            return coded.withColumn("__pieces", pieces).withColumn(name, F.expr(f"if({ids} = '', X'', unhex({_let('__pieces', 't', joined)}))")).drop("__pieces")
         sent = coded.sparkSession.sparkContext.broadcast({str(i): p for i, p in enumerate(self.pieces)})  # the vocabulary
 
         kind = T.StructType([f for f in coded.schema.fields if f.name != name] + [T.StructField(name, T.BinaryType())])
@@ -202,8 +210,10 @@ def _cache(codec: Codec, texts: DataFrame) -> Broadcast:
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(k, pa.int64())], ["w", "n"])
 
     top = sample.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(CACHE_WORDS)
-    coded = cut(codec.encode_words(cut(top.select("w")).repartition(48, "w")).agg(F.collect_list(F.struct("w", "ids")).alias("x")).select(F.expr("array_join(x.w, char(0))").alias("w"), F.expr("array_join(x.ids, ' ')").alias("ids")))  # two strings
+    coded = cut(codec.encode_words(cut(top.select("w").repartition(48))))  # the plan with the constant tables is not planned anew
+    coded = coded.agg(F.collect_list(F.struct("w", "ids")).alias("x")).select(F.expr("array_join(x.w, char(0))").alias("w"), F.expr("array_join(x.ids, ' ')").alias("ids"))  # two strings
     text = coded.first()
+    tidy(texts.sparkSession)  # plans with the constant tables are large
     return texts.sparkSession.sparkContext.broadcast((codec.pieces, text["w"], text["ids"]))
 
 
@@ -215,6 +225,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
     """
     if docs.sparkSession.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == str(2**31 - 16):
         docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)  # the constant tables would fill the driver's plan descriptions
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     sent, pattern = _cache(codec, docs.select(text.alias("text"))), codec.pattern
     kind = T._parse_datatype_string("struct<pieces: array<string>, holes: array<int>, words: array<string>>")
@@ -255,7 +266,9 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
                 yield pa.RecordBatch.from_arrays([*cols, taken(b.column(b.schema.get_field_index("__text")).to_pylist(), find, known)], [*carried, "__found"])
 
     found = rows.mapInArrow(take, T.StructType([*docs.schema.fields, T.StructField("__found", kind)]))
-    return codec.fill(found, "__found", name).drop("__found")
+    filled = codec.fill(found, "__found", name).drop("__found")
+    tidy(docs.sparkSession)
+    return filled
 
 
 def count_ids(ids: Column) -> Column:

@@ -43,7 +43,7 @@ def two_place(keys: list[int]) -> tuple[int, int, list[int | None], list[int | N
 
 
 def displaced(values: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int]]:
-    """(d, r) such that r[d[a] + b] ^ (a << 20) is the value of (a, b), and at least 2**20 if there is none.
+    """(d, r) such that r[d[a] + b] ^ (a + 1 << 20) is the value of (a, b), and at least 2**20 if there is none.
 
     The sparse rows of the table of all pairs (a, b < size, values below 2**20, a never size - 1) are laid over each
     other, each moved by d[a] to where its entries meet free places; an entry names its row.
@@ -65,9 +65,9 @@ def displaced(values: dict[tuple[int, int], int], size: int) -> tuple[list[int],
             at += 512
         d[a] = at = at + int(fits.argmax())
         free[at + b] = False
-    r = [(size - 1) << 20] * (max(d) + size)
+    r = [0] * (max(d) + size)  # short as text, since plans are described in full
     for (a, b), value in values.items():
-        r[d[a] + b] = a << 20 | value
+        r[d[a] + b] = a + 1 << 20 | value
     return d, r
 
 

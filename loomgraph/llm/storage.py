@@ -32,6 +32,23 @@ def cut(df: DataFrame) -> DataFrame:
     return back
 
 
+#: Rows that go to a Python worker at once: texts are long, and both sides hold a batch outside their heaps.
+MOST_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to MOST_ROWS rows (Spark has no such setting for a single plan)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= MOST_ROWS:
+        spark.conf.set(name, MOST_ROWS)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect what no plan holds any more: Spark then deletes the shuffle files of finished steps,
+    which otherwise stay on the executors' disks until the driver's heap happens to be full."""
+    spark._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the table of a frame from `cut` that no later plan reads."""
     spark = df.sparkSession

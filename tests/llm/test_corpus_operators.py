@@ -43,6 +43,17 @@ def test_byte_bpe(docs, empty):
     codec = bpe.default_codec()
     assert listed(bpe.digests(df, codec)) == sorted(want, key=str)
     assert bpe.digests(empty, codec).count() == 0
+    coded = bpe.encode(df.select("doc_id", "text"), codec)
+    for workers in (True, False):
+        assert codec.decode(coded, workers=workers).where("decoded <> encode(coalesce(text, ''), 'UTF-8')").count() == 0
+
+
+def test_long_words(spark):
+    """Unbroken runs of letters have the same tokens as in the library, in time that does not grow with their square."""
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    rows = [(1, "abcdefgh" * 12_500), (2, "x" * 100_000), (3, "é" * 255 + " " + "the" * 400), (4, "a" * 257), (5, "1" * 3000 + "!" * 3000)]
+    got = {r.doc_id: r.ids for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), bpe.default_codec()).collect()}
+    assert all(got[i] == ",".join(map(str, enc.encode_ordinary(t))) for i, t in rows)
 
 
 def test_token_counts(docs, empty):
