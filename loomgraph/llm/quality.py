@@ -129,8 +129,9 @@ def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class_rows: int = FIT_PER_CLASS, ridge: float = 1e-3) -> Scorer | None:
-    """Learns labels.quality of rows whose crc32(doc_id as text) mod 5 is not 0; None without such rows."""
-    known = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    """Learns labels.quality of rows whose crc32(doc_id as text) mod 5 is not 0; None without such rows.  A document that
+    is labelled twice is of the lower quality."""
+    known = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     if not sizes:
         return None
@@ -141,36 +142,48 @@ def fit(docs: DataFrame, labels: DataFrame, per_class_rows: int = FIT_PER_CLASS,
         for b in batches:
             for lo, hi, data, offsets in bt.pieces(bt.column(b, "text"), rows=20_000):
                 x = statistics(data, offsets)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float64()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float64()))], ["y", "fold", "x"])
 
-    table = cut(docs.join(chosen, "doc_id").select(F.col("quality").cast("int").alias("y"), "text").mapInArrow(measure, "y int, x array<double>").repartition(16))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int").alias("fold")
+    table = cut(docs.join(chosen, "doc_id").select(F.col("quality").cast("int").alias("y"), fold, "text").mapInArrow(measure, "y int, fold int, x array<double>").repartition(16))
     cells = [F.col("x")[i] for i in range(STATISTICS)]
     m = table.agg(*[F.avg(c) for c in cells], *[F.stddev_pop(c) for c in cells], F.count("*")).first()
     if not m[-1]:
         return None
     scorer = Scorer(np.array(m[:STATISTICS], float), np.array(m[STATISTICS:-1], float))
 
+    shape = (FOURIER + 1, FOURIER + 1)
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, c = np.zeros((FOURIER + 1, FOURIER + 1)), np.zeros(FOURIER + 1)
+        a, c = np.zeros((2, *shape)), np.zeros((2, FOURIER + 1))
         for b in batches:
-            y = b.column(0).to_numpy().astype(float)
-            z = scorer.lift(np.stack(b.column(1).to_numpy(zero_copy_only=False)))
+            y, fold = b.column(0).to_numpy().astype(float), b.column(1).to_numpy()
+            z = scorer.lift(np.stack(b.column(2).to_numpy(zero_copy_only=False)))
             w = np.array([weight.get(int(v), 1.0) for v in y])
-            a += (z * w[:, None]).T @ z
-            c += (z * w[:, None]).T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([c.tobytes()])], ["a", "c"])
+            for k in (0, 1):
+                mine = fold == k
+                a[k] += (z[mine] * w[mine, None]).T @ z[mine]
+                c[k] += (z[mine] * w[mine, None]).T @ y[mine]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in a]), pa.array([x.tobytes() for x in c]), pa.array([0, 1], pa.int32())], ["a", "c", "fold"])
+
+    a, c = np.zeros((2, *shape)), np.zeros((2, FOURIER + 1))
+    for r in table.mapInArrow(sums, "a binary, c binary, fold int").collect():  # two rows from each of the few partitions of the sample
+        a[r["fold"]] += np.frombuffer(r["a"]).reshape(shape)
+        c[r["fold"]] += np.frombuffer(r["c"])
+
+    def solved(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(a + max(ridge * np.trace(a) / len(a), 1e-9) * np.eye(len(a)), c)
 
-    a, c = np.zeros((FOURIER + 1, FOURIER + 1)), np.zeros(FOURIER + 1)
-    for r in table.mapInArrow(sums, "a binary, c binary").collect():  # one row from each of the few partitions of the sample
-        a += np.frombuffer(r["a"]).reshape(a.shape)
-        c += np.frombuffer(r["c"])
-    scorer.weights = np.linalg.solve(a + ridge * np.trace(a) / len(a) * np.eye(len(a)), c)
+    scorer.weights = solved(a.sum(axis=0), c.sum(axis=0))
+    # a row is calibrated by weights that the other half of the sample gave
+    other = [solved(a[1 - k], c[1 - k]) for k in (0, 1)]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.raw(np.stack(b.column(1).to_numpy(zero_copy_only=False))))], ["y", "raw"])
+            z, fold = scorer.lift(np.stack(b.column(2).to_numpy(zero_copy_only=False))), b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.where(fold == 0, z @ other[0], z @ other[1]))], ["y", "raw"])
 
-    seen = table.mapInArrow(rate, "y int, raw double").toPandas()
+    seen = table.mapInArrow(rate, "y int, raw double").toPandas()  # at most about 2 x per_class_rows pairs
     y = seen["y"].to_numpy(float)
     scorer.steps = isotonic(seen["raw"].to_numpy(), y, np.array([weight.get(int(v), 1.0) for v in y]))
     return scorer
