@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import bytetext as bt
 from loomgraph.llm.sampling import per_class
@@ -83,7 +84,7 @@ class Hierarchy:
     def _pairs(x: np.ndarray, of: np.ndarray, names: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
         pairs = list(combinations(range(len(names)), 2))
         weights = [linear_svm(x[sel], np.where(of[sel] == names[a], 1.0, -1.0)) for a, b in pairs for sel in [(of == names[a]) | (of == names[b])]]
-        return np.array(weights).reshape(len(pairs), -1), pairs
+        return np.array(weights).reshape(len(pairs), x.shape[1] + 1), pairs
 
     @staticmethod
     def _vote(x: np.ndarray, model: tuple[np.ndarray, list[tuple[int, int]]], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,27 +130,37 @@ def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Hierarchy | No
     return Hierarchy(np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), DIMENSIONS), got["lang"].tolist())
 
 
-def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row, from its whole text alone.
+def append(docs: DataFrame, model: Hierarchy | None, text_col: str = "text") -> DataFrame:
+    """Each row of `docs` with its lang_pred and score, from its whole text alone; rows and other columns are untouched.
 
-    A null text, a text without a letter, or no fitted model gives `und` with score 0.  Rows without an id are scored too
-    and are not held out; repeated rows stay repeated; an empty table gives no rows.
+    A null text, a text without a letter, or no fitted model gives `und` with score 0.  Columns of `docs` with those two
+    names are replaced; repeated rows stay repeated; an empty table gives no rows.  Rows go through a worker a few
+    hundred at a time, so that its memory does not follow their number.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few weight vectors, whatever the corpus is
+    kept = docs.drop("lang_pred", "score")
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            for lo, hi, data, offsets in bt.pieces(bt.column(b, "text"), rows=128):
+            for lo, hi, data, offsets in bt.pieces(bt.column(b, text_col), rows=128):
                 letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
                 some = letters[offsets[1:]] > letters[offsets[:-1]]
                 for i in np.flatnonzero(~some):
                     t = data[offsets[i] : offsets[i + 1]]
                     some[i] = bool((t >= 128).any()) and any(map(str.isalpha, t.tobytes().decode("utf-8", "replace")))
                 lang, score = m.predict(features(data, offsets)) if m else (["und"] * (hi - lo), np.zeros(hi - lo))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([v if s else "und" for v, s in zip(lang, some)], pa.string()), pa.array(np.where(some, score, 0.0))], ["doc_id", "lang_pred", "score"])
+                found = [pa.array([v if s else "und" for v, s in zip(lang, some)], pa.string()), pa.array(np.where(some, score, 0.0))]
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).slice(lo, hi - lo) for c in names] + found, [*names, "lang_pred", "score"])
+
+    kind = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return kept.mapInArrow(run, kind)
 
-    got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for each row, as `append` gives them.  Rows without an id are not held out."""
+    got = append(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
     return got.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

@@ -15,8 +15,11 @@ def per_class(rows: DataFrame, label: str, bound: int) -> DataFrame:
     are the only thing the driver sees; rows without a label or a doc_id are left out.
     """
     rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect()}
-    share = F.lit(0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(_STEPS, int(_STEPS * bound / n)))).otherwise(share)
+    counts = rows.groupBy(label).count().collect()  # one row a class
+    share = None
+    for value, n in counts:
+        chosen = F.lit(min(_STEPS, int(_STEPS * bound / n)))
+        share = (F if share is None else share).when(F.col(label) == F.lit(value), chosen)
+    if share is None:
+        return rows
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(_STEPS)) < share)
