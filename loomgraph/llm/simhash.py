@@ -3,7 +3,8 @@
 Method.  A 64-bit fingerprint has eight positional bytes.  Two fingerprints that differ in at most two bits share at
 least six of them (the guaranteed minimum).  The inverted index therefore lists each distinct fingerprint under every
 choice of six positional bytes (28 lists), which is the count filter made into a key: whoever shares six positional
-bytes meets in a list, nobody else does.  A list has at most 2**16 members, because the two bytes outside the key are
+bytes meets in a list, nobody else does.  Of each pair that meets the shared positional bytes are tallied, pairs that reach the
+minimum are verified by their bits.  A list has at most 2**16 members, because the two bytes outside the key are
 all that can differ; short lists are paired and verified, and a long list is split by masking every choice of two of
 its 16 open bits, which links the same members with work in proportion to the list.
 """
@@ -23,6 +24,9 @@ from loomgraph.llm.storage import cut
 
 #: Seed of Spark's own xxhash64, so that fingerprints can be recomputed in SQL.
 SEED = 42
+#: Differing bits at most, and the positional bytes that two fingerprints then share at least.
+RADIUS = 2
+LEAST_SHARED = 8 - RADIUS
 #: Lists of the inverted index up to this length are paired; longer ones are masked.
 PAIRED = 64
 
@@ -72,8 +76,12 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
         masks.append((m, bits))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = F.array(*[F.struct(F.lit(i).alias("list"), F.col("fp").bitwiseAND(F.lit(signed(~m & ((1 << 64) - 1)))).alias("kept")) for i, (m, _) in enumerate(masks)])
-    lists = prints.select("fp").distinct().select("fp", F.explode(keys).alias("k")).groupBy("k").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    pairs = F.expr("""flatten(transform(fps, (x, i) -> transform(filter(slice(fps, i + 2, size(fps)), y -> bit_count(x ^ y) <= 2), y -> struct(greatest(x, y) as u, least(x, y) as v))))""")
+    # as many tasks as the session deals out: each row becomes 28, however few bytes there are before
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = prints.select("fp").distinct().repartition(parts, F.xxhash64("fp")).select("fp", F.explode(keys).alias("k")).groupBy("k").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    tally = " + ".join(f"if((x ^ y) & {255 << (8 * b) if b < 7 else -(1 << 56)}L = 0, 1, 0)" for b in range(8))
+    meets = f"{tally} >= {LEAST_SHARED} and bit_count(x ^ y) <= {RADIUS}"
+    pairs = F.expr(f"flatten(transform(fps, (x, i) -> transform(filter(slice(fps, i + 2, size(fps)), y -> {meets}), y -> struct(greatest(x, y) as u, least(x, y) as v))))")
     short = lists.where(F.size("fps") <= PAIRED).select(F.explode(pairs).alias("e")).select("e.*").distinct()
     #: for a long list: every choice of two open bits (or one), masked out
     choices = F.array(*[F.array(*[F.lit(signed(~((1 << a) | (1 << b)) & ((1 << 64) - 1))) for a, b in combinations(bits, 2)]) for _, bits in masks])
