@@ -1,6 +1,6 @@
 """Vectorised byte-level text work shared by the operators of this subpackage.
 
-Texts of an Arrow batch are handled as one UTF-8 buffer with row offsets, in pieces of a few MB, so that the
+Texts of an Arrow batch are handled as one UTF-8 buffer with row offsets, in pieces of some 100 KB, so that the
 intermediate arrays of a worker stay small whatever the batch size is.  A null text counts as the empty text.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: An odd base is invertible modulo 2**64, so substring hashes come from prefix sums.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -58,7 +58,7 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 21), base, np.uint64)
+        out = np.full(max(2 * n, 1 << 18), base, np.uint64)
         out[0] = 1
         have = _powers[int(base)] = np.multiply.accumulate(out)
     return have[:n]

@@ -38,7 +38,7 @@ WIDE = 20_000
 #: A segment with more than this share (one in ...) of all places is dealt with apart; so there are fewer of them than this.
 MOST_HOT = 5000
 #: Strings whose keys a task holds at once.
-HELD_KEYS = 1_000_000
+HELD_KEYS = 500_000
 _I64 = lambda a: pa.array(a.view(np.int64) if a.dtype == np.uint64 else a)
 
 
