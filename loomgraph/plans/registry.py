@@ -304,9 +304,6 @@ def symbols_list(t: Tables) -> DataFrame:
     return navigate.list_symbols(t.symbols, t.projects, db_fan_in(t), "load", "method", "a", "repo", 25)
 
 
-_RESOLVED = ("App.N0.Nothing", "supplier8extensions", "supplier8", "supplier2service", "oad")
-
-
 @query("""with q as (select unnest(['supplier1view', 'upplier1vie', 'nothing here', 'receive', 'xaml']) as question),
     n as (select question, (select count(*) from symbols where lower(name) = question) as n1, (select min(fqn) from symbols where lower(name) = question) as f1, (select count(*) from symbols where contains(lower(fqn), question)) as n2, (select min(fqn) from symbols where contains(lower(fqn), question)) as f2 from q)
     select question, case when n1 = 1 then f1 when n2 = 1 then f2 end as fqn, case when n1 = 1 then 1 when n2 = 1 then 2 end as tier from n where n1 = 1 or n2 = 1""")
@@ -361,7 +358,6 @@ def _decided(t: Tables, soft: bool = False) -> DataFrame:
 
 
 _UI = "regexp_matches(regexp_extract(coalesce({0}, ''), '[^.]*$'), '(Form|Control|Dialog|Window|Page|View|Panel)$|^Form')"
-_BACK = "chr(92)"
 _TYPE_RULE = r"""case when regexp_extract(name, '[^.]*$') in ('App', 'Program', 'Startup') then 'dotnet.host_entry_type'
     when regexp_matches(name, '(Controller|Middleware|ActionFilter)$') and regexp_matches(p, '\\(controllers|middleware|filters)\\') then 'aspnet.convention_type'
     when ends_with(name, 'Module') then 'di.module_type' when ends_with(name, 'Converter') then 'serialization.converter_type'
@@ -908,7 +904,7 @@ def thread_flags(t: Tables) -> DataFrame:
     return navigate.thread_flags(t.files_text.where("text is not null").select("doc_id", put.alias("body"))).select("doc_id", "has_task_spawn", "has_blocking_wait", "has_thread_start")
 
 
-_STATEMENTS = ("case when {k} % 6 = 0 then 'x.' || {n} || ' = 1' when {k} % 6 = 1 then {n} || ' += 2' when {k} % 6 = 2 then 'f(out ' || {n} || ')' when {k} % 6 = 3 then '++this.' || {n} when {k} % 6 = 4 then 'f(ref ' || {n} || ')' else {n} || ' == ' || {n} || 'x' end")
+_STATEMENTS = "case when {k} % 6 = 0 then 'x.' || {n} || ' = 1' when {k} % 6 = 1 then {n} || ' += 2' when {k} % 6 = 2 then 'f(out ' || {n} || ')' when {k} % 6 = 3 then '++this.' || {n} when {k} % 6 = 4 then 'f(ref ' || {n} || ')' else {n} || ' == ' || {n} || 'x' end"
 
 
 @query("select fqn, case k % 6 when 0 then 'write' when 2 then 'write' when 5 then 'read' else 'read_write' end as access_kind from fields")
@@ -932,7 +928,6 @@ def _folder(t: Tables) -> Path:
 def _store(t: Tables) -> Store:
     """A store with the methods and types of the bound tables as symbols."""
     s = Store(t.spark, str(_folder(t)))
-    s.init()
     s.save_symbols(t.stored("symbols").withColumn("ordinal", F.lit(0).cast("long")).withColumn("document_id", F.col("file_path")))
     return s
 
@@ -942,7 +937,6 @@ def _store(t: Tables) -> Store:
 def store_symbols(t: Tables) -> DataFrame:
     """Arrivals merged in two steps."""
     s = Store(t.spark, str(_folder(t)))
-    s.init()
     a = t.stored("arrivals")
     s.save_symbols(a.where("ordinal % 2 = 1"))
     s.save_symbols(a.where("ordinal % 2 = 0").withColumn("ordinal", F.col("ordinal") + 1_000_000))
@@ -964,7 +958,6 @@ def store_calls(t: Tables) -> DataFrame:
 @query("select accessor as accessor_fqn, target as target_fqn, access_kind, arg_min(is_external, ordinal) as is_external from field_accesses group by 1, 2, 3")
 def store_accesses(t: Tables) -> DataFrame:
     s = Store(t.spark, str(_folder(t)))
-    s.init()
     s.save_accesses(t.field_accesses)
     return s.table("field_accesses")
 
@@ -973,7 +966,6 @@ def store_accesses(t: Tables) -> DataFrame:
 def store_dependencies(t: Tables) -> DataFrame:
     """The same references saved twice."""
     s = Store(t.spark, str(_folder(t)))
-    s.init()
     refs = t.stored("project_refs").withColumnsRenamed({"source": "source_project_id", "target": "target_project_id"})
     s.save_dependencies(refs)
     s.save_dependencies(refs)
@@ -1000,7 +992,6 @@ def store_type_uses(t: Tables) -> DataFrame:
 def store_put(t: Tables) -> DataFrame:
     """Rows by id, the last of which stays."""
     s = Store(t.spark, str(_folder(t)))
-    s.init()
     runs = frame(*t._at, "run_events")
     for low in (0, 150):
         s.put("analysis_runs", runs.where(f"ordinal >= {low} and ordinal < {low + 150}"))
@@ -1165,7 +1156,7 @@ def vector_search(t: Tables) -> DataFrame:
     return hits.select("rank", "score", "fqn", F.array_join("context", ";").alias("context"))
 
 
-_FIRST = f"(select fqn from d where drop_reason is null order by loc desc, fqn limit 50)"  # noqa: F541
+_FIRST = "(select fqn from d where drop_reason is null order by loc desc, fqn limit 50)"
 _CATEGORY = f"""s as (select s.fqn, kind, name, containing_type, namespace, project_id, return_type, parameter_count, regexp_extract(file_path, '[^/\\\\]*$') as file_name, {_TOKENS('s.fqn')} as tokens, {_LISTS} from symbols s),
     pairs as (select a.fqn as source, b.fqn, round(({_SURE})::double, 4) as score, coalesce(a.containing_type = b.containing_type and a.containing_type <> '', false) or coalesce(a.namespace = b.namespace and a.namespace <> '', false) as near, {_LIKE('a.tokens', 'b.tokens')} > 0 as named,
     {_LIKE('a.callers', 'b.callers')} > 0 or {_LIKE('a.callees', 'b.callees')} > 0 or {_LIKE('a.used_types', 'b.used_types')} > 0 or {_LIKE('a.used_fields', 'b.used_fields')} > 0 as shared from s a join s b on a.fqn <> b.fqn and a.kind = b.kind and b.kind not in ('xaml', 'lambda', 'framework_method') where a.fqn in {_FIRST}),

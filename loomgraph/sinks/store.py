@@ -7,7 +7,6 @@ the old one.
 from __future__ import annotations
 
 import json
-import shutil
 import uuid
 from datetime import datetime, timezone
 from pathlib import Path
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.operators import graph
+from loomgraph.sources.shared import exists, move, remove
 
 _FLAGS = "is_static is_abstract is_sealed is_async is_partial is_generic is_extension_method is_disposable is_volatile".split()
 _THREADS = "has_callback has_ui_dispatch has_task_spawn has_background_worker has_do_events has_lock has_thread_start has_blocking_wait".split()
@@ -55,32 +55,32 @@ class Store:
     """The tables below one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
+        self.spark, self.folder = spark, folder.rstrip("/")
 
     def init(self) -> None:
         """Creates the tables that are not there yet."""
         for name in SCHEMAS:
-            if not (self.folder / name).exists():
+            if not exists(self.spark, f"{self.folder}/{name}"):
                 self.replace(name, self.spark.createDataFrame([], schema(name)))
 
     def table(self, name: str) -> DataFrame:
         """A table with all its columns, whatever columns it was written with; empty if it is not there."""
-        at = self.folder / name
-        if not at.exists():
+        at = f"{self.folder}/{name}"
+        if not exists(self.spark, at):
             return self.spark.createDataFrame([], schema(name))
-        return conform(self.spark.read.option("mergeSchema", True).parquet(str(at)), name)
+        return conform(self.spark.read.option("mergeSchema", True).parquet(at), name)
 
     def replace(self, name: str, df: DataFrame) -> None:
         """Puts `df` in the place of a table; `df` may be made from that table."""
-        at, beside = self.folder / name, self.folder / f".{name}-{uuid.uuid4().hex}"
-        conform(df, name).write.parquet(str(beside))
-        if at.exists():
-            gone = self.folder / f".{name}-{uuid.uuid4().hex}"
-            at.rename(gone)
-            beside.rename(at)
-            shutil.rmtree(gone)
+        at, beside = f"{self.folder}/{name}", f"{self.folder}/.{name}-{uuid.uuid4().hex}"
+        conform(df, name).write.parquet(beside)
+        if exists(self.spark, at):
+            gone = f"{self.folder}/.{name}-{uuid.uuid4().hex}"
+            move(self.spark, at, gone)
+            move(self.spark, beside, at)
+            remove(self.spark, gone)
         else:
-            beside.rename(at)
+            move(self.spark, beside, at)
 
     def reset(self) -> None:
         """Empties every table but the runs."""

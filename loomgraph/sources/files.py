@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.operators import soft_edges
-from loomgraph.sources.shared import kept
+from loomgraph.sources.shared import exists, kept
 
 #: The graphs of a scan by file.
 GRAPH_FILES = {"call": "call_graph.json", "inheritance": "inheritance_graph.json", "dependency": "dependency_graph.json", "field_access": "field_access_graph.json", "type_dependency": "type_dependency_graph.json"}
@@ -315,4 +315,4 @@ def best_candidate(paths: DataFrame, root: str) -> DataFrame:
 
 def vector_index(spark: SparkSession, folder: str) -> DataFrame | None:
     """The table of vectors that `sinks.store.write_index` wrote; None if there is none."""
-    return spark.read.parquet(folder) if Path(folder).exists() else None
+    return spark.read.parquet(folder) if exists(spark, folder) else None

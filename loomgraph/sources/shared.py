@@ -13,11 +13,33 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loomgraph-shared"
 
 
+def _at(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store Spark reads."""
+    fs, at = _at(spark, path)
+    return bool(fs.exists(at))
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    fs, at = _at(spark, path)
+    if not fs.rename(at, _at(spark, to)[1]):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """`df` as a table of its own: written once, read by every later plan, and gone when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loomgraph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

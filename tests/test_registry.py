@@ -23,8 +23,15 @@ def rows(found, columns):
     return sorted(tuple(f"{r[i]:.6g}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in found)
 
 
+@pytest.fixture(scope="module")
+def tables(spark):
+    """One set of bound tables for all queries: what several of them store is stored once."""
+    return registry.Tables(spark, AT)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
-def test_same_as_sql(spark, duck, name):
+def test_same_as_sql(spark, duck, tables, monkeypatch, name):
+    monkeypatch.setattr(registry, "Tables", lambda *_: tables)
     got = registry.QUERIES[name](spark, AT)
     want = duck.sql(registry.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
