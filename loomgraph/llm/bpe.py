@@ -122,10 +122,18 @@ class Codec:
                     pairs[a, b] = rank
         first, rows = literals.displaced(pairs, _END + 1)
         self.ranks = F.struct(literals.longs(first).alias("d"), literals.longs(rows).alias("r"), literals.longs([ranks[bytes([b])] for b in range(256)]).alias("bytes"))
+        self.settled = False
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.pieces[rank] = token
 
+    def settle(self, spark) -> None:  # noqa: ANN001
+        """Puts the constant table of ranks into a table of one row, from which plans take it by a scalar subquery: as a
+        literal it would be written out in every description of a plan that the driver keeps."""
+        if not self.settled:
+            self.ranks = cut(spark.range(1).select(self.ranks.alias("t"))).select("t").scalar()
+            self.settled = True
+
     def _rank(self, a: str, b: str) -> str:
         """Rank of the pair (a, b) in its place of a state, _NONE there if it has none."""
         return f"shiftleft(least(t.r[t.d[{a}] + {b}] ^ shiftleft({a} + 1L, 20), {_NONE}L), 46)"
@@ -226,6 +234,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
     if docs.sparkSession.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == str(2**31 - 16):
         docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)  # the constant tables would fill the driver's plan descriptions
     small_batches(docs.sparkSession)
+    codec.settle(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     sent, pattern = _cache(codec, docs.select(text.alias("text"))), codec.pattern
     kind = T._parse_datatype_string("struct<pieces: array<string>, holes: array<int>, words: array<string>>")

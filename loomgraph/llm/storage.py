@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,8 +47,11 @@ def small_batches(spark: SparkSession) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Lets the driver's JVM collect what no plan holds any more: Spark then deletes the shuffle files of finished steps,
-    which otherwise stay on the executors' disks until the driver's heap happens to be full."""
+    which otherwise stay on the executors' disks until the driver's heap happens to be full.  Python gives back what it
+    has freed as well."""
     spark._jvm.System.gc()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def drop(df: DataFrame) -> None:
