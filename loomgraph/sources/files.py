@@ -7,23 +7,28 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from json.decoder import WHITESPACE
 from pathlib import Path
-from typing import Any
+from typing import Any, TextIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.operators import soft_edges
-from loomgraph.sources.shared import exists, kept
+from loomgraph.sources.shared import exists, kept, kept_blocks
+
+#: Characters of a graph file that are read, and handed to Spark, at once.
+PIECE, BLOCK = 1 << 20, 1 << 24
 
 #: The graphs of a scan by file.
 GRAPH_FILES = {"call": "call_graph.json", "inheritance": "inheritance_graph.json", "dependency": "dependency_graph.json", "field_access": "field_access_graph.json", "type_dependency": "type_dependency_graph.json"}
 _FLAGS = ("has_ui_dispatch", "has_task_spawn", "has_background_worker", "has_do_events", "has_lock", "has_callback", "is_async", "has_thread_start", "has_blocking_wait", "is_volatile")
 NODE = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "kind", "file", "project")] + [T.StructField(c, T.BooleanType()) for c in _FLAGS])
 LINK = T.StructType([T.StructField(c, T.StringType()) for c in ("source", "target", "type", "rule_id", "rule_family", "rule_mode")] + [T.StructField("call_count", T.LongType()), T.StructField("is_external", T.BooleanType())])
-GRAPH = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("links", T.ArrayType(LINK)), T.StructField("edges", T.ArrayType(LINK)), T.StructField("graph", T.MapType(T.StringType(), T.StringType()))])
 SOFT = T.StructType([T.StructField(c, T.StringType()) for c in ("source", "target", "type", "confidence", "evidence", "notes")])
 
 
@@ -68,23 +73,119 @@ def _no_graph(spark: SparkSession) -> Graph:
     return Graph(spark.createDataFrame([], NODE), spark.createDataFrame([], LINK), {})
 
 
+class _Text:
+    """A JSON text that is read a piece at a time: `value` and `char` go on where the one before ended."""
+
+    def __init__(self, f: TextIO):
+        self.f, self.held, self.at, self.decoder = f, "", 0, json.JSONDecoder()
+
+    def more(self) -> bool:
+        new = self.f.read(max(PIECE, len(self.held) - self.at))
+        self.held, self.at = self.held[self.at :] + new, 0
+        return bool(new)
+
+    def char(self, take: str = "") -> str:
+        """The next character but for white space, which is passed if it is among `take`."""
+        while True:
+            self.at = WHITESPACE.match(self.held, self.at).end()
+            if self.at < len(self.held):
+                break
+            if not self.more():
+                raise ValueError("the text ends too early")
+        c = self.held[self.at]
+        self.at += c in take
+        return c
+
+    def value(self) -> tuple[Any, str]:
+        """The next value and its text."""
+        self.char()
+        while True:
+            try:
+                found, end = self.decoder.raw_decode(self.held, self.at)
+                if end < len(self.held) or not self.more():  # a number may go on
+                    break
+            except json.JSONDecodeError as e:
+                cut_off = e.msg.startswith("Unterminated") or e.pos > len(self.held) - 16
+                if not cut_off or not self.more():
+                    raise
+        text, self.at = self.held[self.at : end], end
+        return found, text
+
+    def each(self, brackets: str) -> Iterator[None]:
+        """Once for each member of a list or an object, which is to be taken meanwhile."""
+        if self.char(brackets[0]) != brackets[0]:
+            raise ValueError(f"{brackets[0]} expected")
+        if self.char(brackets[1]) == brackets[1]:
+            return
+        while True:
+            yield
+            c = self.char("," + brackets[1])
+            if c == brackets[1]:
+                return
+            if c != ",":
+                raise ValueError(f"{brackets[1]} expected")
+
+
+def _items(f: TextIO, about: dict[str, str], lists: set[str]) -> Iterator[tuple[str, int, str]]:
+    """(list, place, JSON) of each node and link of a graph; `about` is filled with what the file says of itself, `lists`
+    with the names of those that are there."""
+    text = _Text(f)
+    for _ in text.each("{}"):
+        key, _ = text.value()
+        if not isinstance(key, str) or text.char(":") != ":":
+            raise ValueError("a name expected")
+        if key in ("nodes", "links", "edges") and text.char() != "n":
+            lists.add(key)
+            for i, _ in enumerate(text.each("[]")):
+                yield key, i, text.value()[1]
+        else:
+            found, _ = text.value()
+            if key == "graph" and found is not None:
+                about |= {k: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in found.items()} if isinstance(found, dict) else {}
+
+
+def _blocks(path: str | Path, about: dict[str, str], lists: set[str]) -> Iterator[pa.Table]:
+    """The items of a graph file as (part, ordinal, item), some BLOCK characters at a time."""
+    held, size = [], 0
+    with open(path, encoding="utf-8-sig") as f:
+        for item in _items(f, about, lists):
+            held.append(item)
+            size += len(item[2])
+            if size >= BLOCK:
+                yield pa.table(dict(zip(("part", "ordinal", "item"), zip(*held))))
+                held, size = [], 0
+    if held:
+        yield pa.table(dict(zip(("part", "ordinal", "item"), zip(*held))))
+
+
 def read_graph(spark: SparkSession, path: str | Path | None) -> Graph:
     """A graph from node-link JSON, whose edges may be called links or edges; of parallel edges the last one in the file
-    stays, nulls included.  A file that is missing or cannot be read is an empty graph.
+    stays, nulls included.  A file that is missing or cannot be read is an empty graph.  The driver reads a piece at a time
+    and every node and link becomes a row, so that no graph is one record in one task.
 
     Nodes that only edges name are nodes too.
     """
     if path is None or not Path(path).exists():
         return _no_graph(spark)
-    whole = spark.read.schema(T.StructType([*GRAPH.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(str(path))
-    whole = kept(whole)
-    if not whole.where("_bad is null").head(1):
+    about: dict[str, str] = {}
+    lists: set[str] = set()
+    try:
+        listed = kept_blocks(spark, _blocks(path, about, lists), "part string, ordinal long, item string")
+    except (ValueError, RecursionError):
+        return _no_graph(spark)
+
+    def parsed(part: str, schema: T.StructType) -> DataFrame:
+        whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+        rows = listed.where(F.col("part") == part).select("ordinal", F.from_json("item", whole, {"columnNameOfCorruptRecord": "_bad"}).alias("e"))
+        return kept(rows.select("ordinal", "e.*"))
+
+    edge, node = parsed("edges" if "edges" in lists else "links", LINK), parsed("nodes", NODE)
+    if edge.where("_bad is not null").head(1) or node.where("_bad is not null").head(1):
         return _no_graph(spark)
-    listed = whole.select(F.posexplode(F.coalesce("edges", "links")).alias("ordinal", "e")).select("ordinal", "e.*").where("source is not null and target is not null")
-    edges = listed.groupBy("source", "target").agg(F.max(F.struct("ordinal", *[c for c in LINK.names if c not in ("source", "target")])).alias("last")).select("source", "target", "last.*").drop("ordinal")
-    nodes = whole.select(F.explode("nodes").alias("n")).select("n.*").where("id is not null").dropDuplicates(["id"])
+    last = F.max(F.struct("ordinal", *[c for c in LINK.names if c not in ("source", "target")])).alias("last")
+    edges = edge.where("source is not null and target is not null").groupBy("source", "target").agg(last).select("source", "target", "last.*").drop("ordinal")
+    nodes = node.where("id is not null").drop("ordinal", "_bad").dropDuplicates(["id"])
     bare = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
-    about = whole.select("graph").first()[0] or {}
     return Graph(nodes.unionByName(bare, allowMissingColumns=True), edges, about)
 
 

@@ -31,6 +31,28 @@ def test_graph_files(spark, tmp_path):
     assert back.edges.count() == 2 and back.about["analysis_run_id"] == "r2" and json.loads((tmp_path / "out.json").read_text())["multigraph"] is False
 
 
+def test_graph_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    links = [{"source": f"s{i % 40}", "target": f"t{i % 7}é\"]}},\\", "type": None if i % 3 else "a, b", "call_count": 10 ** (i % 12), "is_external": i % 2 == 0} for i in range(300)]
+    doc = {"nodes": [{"id": f"s{i}", "kind": "method", "more": {"deep": [1, {"x": "]"}]}} for i in range(40)], "graph": {"a": "b", "n": 1, "none": None}, "other": [[], {}, "links"], "links": links}
+    want = {(e["source"], e["target"]): (e["type"], e["call_count"], e["is_external"]) for e in links}
+    monkeypatch.setattr(type(spark.read), "json", lambda *a, **b: pytest.fail("a graph is read as one record"))
+    at = tmp_path / "g.json"
+    for piece, block, indent in ((1 << 20, 1 << 24, None), (7, 500, None), (64, 2000, 2)):
+        monkeypatch.setattr(files, "PIECE", piece)
+        monkeypatch.setattr(files, "BLOCK", block)
+        at.write_text("﻿" + json.dumps(doc, indent=indent, ensure_ascii=False), encoding="utf-8")
+        g = files.read_graph(spark, at)
+        assert {(r.source, r.target): (r.type, r.call_count, r.is_external) for r in g.edges.collect()} == want
+        assert g.nodes.count() == 40 + 7 and g.about == {"a": "b", "n": "1", "none": None}
+    for text in ("", "[]", "{", '{"links": [{"source": "a", "target": "b"}', '{"links": [{"source": "a" "target": "b"}]}', '{"links": {}}', '{"links": [{"source": "a", "target": "b", "call_count": "many"}]}'):
+        at.write_text(text)
+        assert files.read_graph(spark, at).edges.count() == 0, text
+    at.write_text('{"links": [{"source": "a", "target": "b"}], "edges": [], "nodes": null}')
+    assert files.read_graph(spark, at).edges.count() == 0
+    at.write_text('{"links": [{"source": "a", "target": "b"}], "edges": null}')
+    assert files.read_graph(spark, at).edges.count() == 1
+
+
 def test_soft_edge_files(spark, tmp_path):
     at = tmp_path / "in.json"
     at.write_text("﻿" + json.dumps({"schema_version": 3, "edges": [{"source": " a ", "target": "b ", "confidence": 0.5, "evidence": ["match", 123], "notes": None}]}), encoding="utf-8")
