@@ -116,3 +116,13 @@ def test_questions(spark):
     assert [h["fqn"] for h in hits] == ["A.LoadUser", "A.SaveOrder"] and hits[0]["context"] == ["Called by: Main"] and hits[1]["context"] == []
     assert [h["fqn"] for h in retrieval.search(index, "load a user", embed, {"call": (calls, "caller", "callee")}, 2, project_id="q").collect()] == ["A.SaveOrder"]
     assert retrieval.search(index, "x", embed, {"call": (calls, "caller", "callee")}, 2, kind="class").count() == 0
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    names = [f"App.{'Order' if i % 3 else 'Part'}{'Load' if i % 2 else 'Save'}{i}" for i in range(60)]
+    symbols = spark.createDataFrame([(n, n[4:], "constructor", "App.T", "App", "p", f"C:/{i % 5}.cs", "void", i % 4) for i, n in enumerate(names)], "fqn string, name string, kind string, containing_type string, namespace string, project_id string, file_path string, return_type string, parameter_count long")
+    features = similarity.feature_sets({"call": (spark.createDataFrame([(n, names[(i * 7) % 60]) for i, n in enumerate(names)], "s string, t string"), "s", "t")} | {g: (spark.createDataFrame([], "s string, t string"), "s", "t") for g in ("inheritance", "type_dependency", "field_access")})
+    want = sorted(map(str, similarity.related(symbols, features, symbols, 3, shapes=False).collect()))
+    monkeypatch.setattr(similarity, "MOST_SOURCES", 25)
+    assert sorted(map(str, similarity.related_in_blocks(symbols, features, symbols, 3, shapes=False).collect())) == want and len(want) == 180
+    assert similarity.related_in_blocks(symbols, features, symbols.limit(0), 3).count() == 0
