@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import literals
-from loomgraph.llm.storage import cut, small_batches, tidy
+from loomgraph.llm.storage import cut, short_plans, small_batches, tidy
 
 #: The cache of common words is learned from about so many documents and holds so many words at most.  It only saves
 #: work: what it lacks is encoded by the same fold, text by text.
@@ -231,8 +231,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
     Repeated rows stay repeated, rows without an id are encoded like others, an empty table gives no rows, and the other
     columns are untouched.
     """
-    if docs.sparkSession.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == str(2**31 - 16):
-        docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)  # the constant tables would fill the driver's plan descriptions
+    short_plans(docs.sparkSession)  # the constant tables would fill the driver's plan descriptions
     small_batches(docs.sparkSession)
     codec.settle(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -281,7 +280,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", name: str = "i
 
 
 def count_ids(ids: Column) -> Column:
-    return F.when(ids == "", F.lit(0)).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(","), F.lit(""))) + 1).cast("long")
+    return F.when(ids == "", F.lit(0)).otherwise(F.octet_length(ids) - F.octet_length(F.replace(ids, F.lit(","), F.lit(""))) + 1).cast("long")
 
 
 def digests(docs: DataFrame, codec: Codec) -> DataFrame:
